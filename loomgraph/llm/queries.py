@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import spans, tokens
+from . import mixing, spans, tokens
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(read(spark, d, "documents"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with the times that each occurs."""
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of all tokens that each source of the target really got."""
+    return mixing.actual_shares(p7_mix(spark, d), read(spark, d, "mix_target"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(read(spark, d, "documents"))
 
@@ -22,5 +32,5 @@ def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amounts(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p8_found, p8_amounts)}
+QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_amounts)}
 SQL: dict[str, str] = {}

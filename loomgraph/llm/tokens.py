@@ -157,7 +157,10 @@ class Encoder:
 
     def count(self, text: str | None) -> int:
         """Number of ids of a text."""
-        return int(self.sizes[self._places(words(text))].sum()) if text else 0
+        if not text:
+            return 0
+        at = self._places(words(text))  # may move the arrays
+        return int(self.sizes[at].sum())
 
 
 _encoders: dict[str, Encoder] = {}
