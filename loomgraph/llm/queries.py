@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read
-from . import mixing, spans, tokens
+from . import mixing, spans, tokens, variants
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the name tables with the person or organisation that it names."""
+    return variants.link_names(read(spark, d, "person_name"), read(spark, d, "aka_name"), read(spark, d, "company_name"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.same_entities(p1_links(spark, d))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -32,5 +41,5 @@ def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amounts(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p6_ids, p7_mix, p7_shares, p8_found, p8_amounts)}
 SQL: dict[str, str] = {}
