@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words a worker remembers before its memory starts anew.
@@ -180,7 +181,7 @@ def encode_column(df: DataFrame, text: str = "text", ranks: str = DEFAULT_RANKS,
     value array per batch. Columns that aren't kept aren't read, so clashing names elsewhere don't matter.
     """
     picked = df.select(*keep, F.col(text).alias("_text"))
-    schema = picked.drop("_text").schema.add("ids", "array<int>")
+    schema = picked.drop("_text").schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
