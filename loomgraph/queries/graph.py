@@ -212,9 +212,7 @@ _c(
 )
 _c(
     "cy_call_union",
-    "MATCH (n:NATION) CALL { WITH n MATCH (n)<-[:IN_NATION]-(s:SUPPLIER) RETURN n AS n, count(s) AS k UNION WITH n MATCH (n)<-[:IN_NATION]-(c:CUSTOMER) RETURN n AS n, count(c) AS k } RETURN n.n_name AS name, k AS k"
-    if False
-    else "MATCH (n:NATION)<-[:IN_NATION]-(s:SUPPLIER) RETURN n.n_name AS name, count(s) AS k UNION ALL MATCH (n:NATION)<-[:IN_NATION]-(c:CUSTOMER) RETURN n.n_name AS name, count(c) AS k",
+    "MATCH (n:NATION)<-[:IN_NATION]-(s:SUPPLIER) RETURN n.n_name AS name, count(s) AS k UNION ALL MATCH (n:NATION)<-[:IN_NATION]-(c:CUSTOMER) RETURN n.n_name AS name, count(c) AS k",
     "SELECT n_name AS name, count(*) AS k FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_name, count(*) FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
 )
 _c(
