@@ -249,7 +249,8 @@ def unified_rows(vertex_row: DataFrame, type_def: DataFrame, plan: DataFrame | N
     """Every row under its type's columns: `row_id, graph_id, label, version_id, properties` (map column -> text).
 
     Keys a version doesn't define are dropped as unknown, columns a version lacks are absent, JSON nulls are null, a
-    payload that is no JSON object has an empty map, and rows of an unknown def_id have a null type. Repeated rows
+    payload that is no JSON object has an empty map, and rows of an unknown def_id have a null type and an
+    empty map. Repeated rows
     stay rows of their own.
     """
     plan = projections(type_def) if plan is None else plan

@@ -333,7 +333,7 @@ class Cypher:
             low2 = Lowering(tmp, self.params)
             df = df.select(*names, *[low2(e).alias(n) for e, n in outer])
         else:
-            df = rows.df.select(*keep, *[self.order_key(low, e, items).alias(f"_ord{i}") for i, (e, _) in enumerate(order)] if order and not distinct else [])
+            df = rows.df.select(*keep, *[self.order_key(low, e, items, False).alias(f"_ord{i}") for i, (e, _) in enumerate(order)] if order and not distinct else [])
             ordered_before = [(F.col(f"_ord{i}"), up) for i, (_, up) in enumerate(order)] if order and not distinct else []
         out = Rows(self.graph, df.distinct() if distinct else df, labels, frozenset(edges), frozenset(paths))
         if ordered_before:
@@ -348,12 +348,10 @@ class Cypher:
             out = out._with(out.df.select(*[F.col(f"`{n}`") for _, n in items]))
         return out
 
-    def order_key(self, low: Lowering, e, items):
-        for x, n in items:  # an item may be named by its expression or its alias
-            if (x == e or e == ("var", n)) and n in low.rows.df.columns:
-                return F.col(f"`{n}`")
-            if e == ("var", n):
-                return low(x)
+    def order_key(self, low: Lowering, e, items, projected: bool = True):
+        for x, n in items:  # an item may be named by its expression or its alias, which hides a variable of that name
+            if x == e or e == ("var", n):
+                return F.col(f"`{n}`") if projected else low(x)
         return low(e)
 
     def lift(self, e, calls: list):

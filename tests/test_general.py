@@ -83,7 +83,7 @@ def test_schema_steps_skip_repeats_and_unify_rows(spark):
     vr = spark.createDataFrame([(1, 1, '{"a": 5, "b": "x", "zzz": 1}'), (2, 3, '{"c": "y", "b": 2.5}'), (3, 3, "broken"), (4, 99, "{}")], "row_id long, def_id long, payload string")
     plan = drift.projections(type_def)
     unified = drift.unified_rows(vr, type_def, plan)
-    assert {r.row_id: r.properties for r in unified.collect()} == {1: {"a": "5", "c": "x"}, 2: {"c": "y", "b": "2.5"}, 3: {}, 4: None}
+    assert {r.row_id: r.properties for r in unified.collect()} == {1: {"a": "5", "c": "x"}, 2: {"c": "y", "b": "2.5"}, 3: {}, 4: {}}
     table = drift.type_table(unified, plan, 1, "v").orderBy("row_id").collect()
     assert [(r.row_id, r.a, r.b, r.c) for r in table] == [(1, 5, None, "x"), (2, None, 2.5, "y"), (3, None, None, None)]
     assert drift.schema_changes(type_def.limit(0)).count() == 0
