@@ -1,4 +1,4 @@
-"""Session helpers: table access, durable materialisation and checked broadcasts."""
+"""Session helpers: table access and durable materialisation."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -48,8 +47,3 @@ def _clean() -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM may be gone already
             return
-
-
-def broadcast_if(df: DataFrame, rows: int | None, limit: int) -> DataFrame:
-    """`df` with a broadcast hint only where its known row count is within `limit`; otherwise the join shuffles."""
-    return F.broadcast(df) if rows is not None and rows <= limit else df
