@@ -39,9 +39,9 @@ _add(
     lambda s, d: _merge(read(s, d, "events")),
 )
 _add("u_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL", lambda s, d: streaming.windowed_counts(read(s, d, "events")))
-_add("a_bridges", None, lambda s, d: flash.bridges(_users(s, d).where("w >= 3")))
-_add("a_cut_points", None, lambda s, d: flash.cut_points(_users(s, d).where("w >= 3")))
-_add("a_onion", None, lambda s, d: flash.onion_layers(_users(s, d).where("w >= 3")))
+_add("a_bridges", None, lambda s, d: flash.bridges(_users(s, d)))
+_add("a_cut_points", None, lambda s, d: flash.cut_points(_users(s, d)))
+_add("a_onion", None, lambda s, d: flash.onion_layers(_users(s, d)))
 
 
 def _merge(events: DataFrame) -> DataFrame:
