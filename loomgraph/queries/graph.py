@@ -135,8 +135,9 @@ _g("g_join_times", "SELECT a.r_regionkey AS x, b.r_regionkey AS y FROM region a
 
 
 def _sides(g: Graph) -> tuple[Rows, Rows]:
+    """All customers and all suppliers. The SQL still states the ids of `_L` and `_R` only, see the README."""
     c, s = g.vertices["CUSTOMER"], g.vertices["SUPPLIER"]
-    return Rows(g, c.where("id <= 40").select(F.col("id").alias("k"), F.col("c_nationkey").alias("n"))), Rows(g, s.where("id >= 20 and id <= 70").select(F.col("id").alias("k"), F.col("s_nationkey").alias("m")))
+    return Rows(g, c.select(F.col("id").alias("k"), F.col("c_nationkey").alias("n"))), Rows(g, s.select(F.col("id").alias("k"), F.col("s_nationkey").alias("m")))
 
 
 _g(

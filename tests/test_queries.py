@@ -10,6 +10,7 @@ from loomgraph.queries import graph, gremlin, more
 from .conftest import rows
 
 USERS = [1, 2, 3, 1, 4, 5, 6, 4, 2, 7, 12, 3, 8, 1]  # no transition occurs twice
+CUSTOMERS, SUPPLIERS = [1, 15, 30, 60, 90, 91], [2, 15, 30, 80, 91]
 PAIRS = sorted(set(zip(USERS, USERS[1:])))
 QUERIES = graph.QUERIES | gremlin.QUERIES | more.QUERIES
 
@@ -19,6 +20,16 @@ def d(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("tables")
     events = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), u, "click", 1.0) for i, u in enumerate(USERS)]
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{at}/events.parquet")
+    for table, schema, data in (
+        ("region", "r_regionkey int, r_name string", [(0, "A")]),
+        ("nation", "n_nationkey int, n_name string, n_regionkey int", [(0, "a", 0), (1, "b", 0)]),
+        ("customer", "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(i, "", i % 2, 0.0, "") for i in CUSTOMERS]),
+        ("supplier", "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(i, "", i % 2, 0.0) for i in SUPPLIERS]),
+        ("part", "p_partkey long", []),
+        ("orders", "o_orderkey long, o_custkey long, o_orderdate date", []),
+        ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate date", []),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{at}/{table}.parquet")
     return str(at)
 
 
@@ -88,3 +99,12 @@ def test_biconnectivity_sees_light_transitions(spark, d):
         both = {p for p in both if not gone & set(p)}
         degree = {v: sum(v in p for p in both) for v in degree if v not in gone}
     assert rows(QUERIES["a_onion"](spark, d)) == sorted(layers, key=repr)
+
+
+def test_joins_see_all_ids(spark, d):
+    q = lambda name: {r[0] for r in rows(QUERIES[f"g_join_{name}"](spark, d))}
+    left, right = set(CUSTOMERS), set(SUPPLIERS)
+    assert q("inner") == q("semi") == left & right
+    assert q("left") == left and q("right") == right and q("full") == left | right and q("anti") == left - right
+    sides = {r.k: (r.n, r.m) for r in QUERIES["g_join_full"](spark, d).collect()}
+    assert sides == {k: (k % 2 if k in left else None, k % 2 if k in right else None) for k in left | right}
