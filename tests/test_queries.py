@@ -108,3 +108,15 @@ def test_joins_see_all_ids(spark, d):
     assert q("left") == left and q("right") == right and q("full") == left | right and q("anti") == left - right
     sides = {r.k: (r.n, r.m) for r in QUERIES["g_join_full"](spark, d).collect()}
     assert sides == {k: (k % 2 if k in left else None, k % 2 if k in right else None) for k in left | right}
+
+
+def test_all_vertices_are_seeds(spark, d):
+    q = lambda name: rows(QUERIES[name](spark, d))
+    assert max(Counter(a for a, _ in PAIRS).values()) <= 5  # so five neighbours are all
+    for name in ("topk", "full", "weight", "in_degree"):
+        assert q(f"l_neighbor_{name}") == sorted(PAIRS, key=repr), name
+    hops = q("l_hops")
+    assert {(s, t) for _, s, t in hops} <= set(PAIRS)
+    assert Counter(s for h, s, _ in hops if h == 1) == {a: 4 for a, _ in PAIRS}
+    reached = {t for h, _, t in hops if h == 1}
+    assert Counter(s for h, s, _ in hops if h == 2) == {a: 2 for a, _ in PAIRS if a in reached}
