@@ -1,9 +1,10 @@
 """Loading delimited lines of which some do not parse, by minimum-cost error parse.
 
-A line is read by an automaton with three states: at the start of a field, in a plain field, in a quoted field. The
-dynamic programme runs over the characters of the line and keeps, per state and number of fields begun, the cheapest
-way to get there, where a quote may be deleted or inserted and a delimiter may be deleted or inserted, each at cost 1.
-A line of cost 0 has the declared number of fields and sound quoting; the edits of any other line name what is wrong.
+A line is read by an automaton with four states: at the start of a field, in a plain field, in a quoted field, after
+its closing quote. The dynamic programme keeps, per place in the line, state and number of fields begun, the cheapest
+way to get there, where a quote or a delimiter may be deleted or inserted anywhere, each at cost 1. A line of cost 0
+has the declared number of fields and sound quoting and loads if its values fit; the edits of any other line name what
+is wrong.
 """
 
 from __future__ import annotations
@@ -58,137 +59,118 @@ def fits(value: str, quoted: bool, kind: str) -> bool:
     return True
 
 
-def split_strict(line: str, delim: str) -> list[tuple[str, bool]] | None:
-    """The fields of a line as (value, quoted), or None where the quoting is broken: the zero-cost path."""
-    if '"' not in line:
-        return [(v, False) for v in line.split(delim)]
-    out, i, n = [], 0, len(line)
-    while True:
-        if line.startswith('"', i):
-            j, parts = i + 1, []
-            while True:
-                k = line.find('"', j)
-                if k < 0:
-                    return None
-                parts.append(line[j:k])
-                if line.startswith('"', k + 1):
-                    parts.append('"')
-                    j = k + 2
-                    continue
-                break
-            i = k + 1
-            if i < n and not line.startswith(delim, i):
-                return None
-            out.append(("".join(parts), True))
-        else:
-            k = line.find(delim, i)
-            k = n if k < 0 else k
-            out.append((line[i:k], False))
-            i = k
-        if i >= n:
-            return out
-        i += len(delim)
-        if i == n:
-            out.append(("", False))
-            return out
-
-
-def error_parse(line: str, delim: str, fields: int, width: int = 6) -> tuple[int, list[tuple[int, str]]]:
-    """Cheapest edits under which `line` has sound quoting and `fields` fields: (cost, [(position, edit)]).
-
-    Edits are delete_quote, insert_quote, delete_delim and insert_delim. The programme keeps field counts from 1 to
-    `fields` + `width`; surplus delimiters are deleted and missing ones inserted at the end of the line, where they
-    cost the same as anywhere else. Ties go to quote edits before delimiter edits and to earlier positions.
+def _tokens(line: str, delim: str) -> list[tuple[int, str, str]]:
+    """Quotes, delimiters and runs of other characters, as (position, kind, text)."""
+    out, last = [], 0
+    for m in re.finditer('"|' + re.escape(delim), line):
+        if m.start() > last:
+            out.append((last, "o", line[last : m.start()]))
+        out.append((m.start(), "q" if m[0] == '"' else "d", m[0]))
+        last = m.end()
+    if last < len(line):
+        out.append((last, "o", line[last:]))
+    return out
+
+
+#: The automaton of sound lines: state -> state by kind of token; a delimiter leads to the next field unless it is quoted.
+_START, _PLAIN, _QUOTED, _CLOSED = range(4)
+_NEXT = {
+    "q": (_QUOTED, _PLAIN, _CLOSED, _QUOTED),
+    "d": (_START, _START, _QUOTED, _START),
+    "o": (_PLAIN, _PLAIN, _QUOTED, None),
+}
+
+
+def error_parse(line: str, delim: str, fields: int | None) -> tuple[int, list[tuple[int, str]]]:
+    """Cheapest edits under which `line` has sound quoting and `fields` fields (None: any number): (cost, [(position, edit)]).
+
+    Edits are delete_quote, insert_quote, delete_delim and insert_delim, at cost 1 each and at any place. Of equally cheap
+    repairs one is given, always the same. Cells of the programme are (tokens read, state, fields begun). They are
+    filled in the order of their cost plus the delimiters that must still be inserted as too few are left, so that a
+    sound line fills one cell per token and a line of cost c only cells that a repair of cost c might pass.
     """
-    start, plain, quoted, closed = range(4)
-    most = fields + width
-    # state: (kind, fields so far) -> (cost, back pointer)
-    layer: dict[tuple[int, int], tuple[int, tuple | None]] = {(start, 1): (0, None)}
-
-    def put(to: dict, key: tuple[int, int], cost: int, back: tuple | None) -> None:
-        if key[1] <= most and (key not in to or cost < to[key][0]):
-            to[key] = (cost, back)
-
-    if '"' not in line:  # one state only: what is left are delimiters
-        have = line.count(delim) + 1
-        spots = [m.start() for m in re.finditer(re.escape(delim), line)]
-        if have > fields:
-            return have - fields, [(p, "delete_delim") for p in spots[fields - 1 :]]
-        return fields - have, [(len(line), "insert_delim")] * (fields - have)
-    # characters that are neither quote nor delimiter only turn `start` into `plain`; runs of them are one step
-    tokens = [(m.start(), m[0]) for m in re.finditer('"|' + re.escape(delim) + "|[^\"" + re.escape(delim[:1]) + "]+|.", line, re.S)]
-    best_bound = len(line) + fields + 1
-    for pos, tok in tokens:
-        nxt: dict[tuple[int, int], tuple[int, tuple | None]] = {}
-        for (kind, f), (cost, back) in sorted(layer.items(), key=lambda x: x[1][0]):
-            if cost > best_bound:
+    tokens = _tokens(line, delim)
+    n = len(tokens)
+    left = [0] * (n + 1)  # delimiters from here on
+    for i in range(n - 1, -1, -1):
+        left[i] = left[i + 1] + (tokens[i][1] == "d")
+    back: dict[tuple[int, int, int], tuple[tuple[int, int, int] | None, tuple[int, str] | None]] = {}
+    todo: dict[int, list] = {}  # cost and what must still be inserted -> (cell, cost, cell before, edit)
+
+    def reach(cell: tuple[int, int, int], cost: int, before: tuple[int, int, int] | None, edit: tuple[int, str] | None) -> None:
+        if cell not in back:
+            short = 0 if fields is None else max(0, fields - cell[2] - left[cell[0]])
+            todo.setdefault(cost + short, []).append((cell, cost, before, edit))
+
+    reach((0, _START, 1), 0, None, None)
+    while True:
+        total = min(todo)
+        while stack := todo.get(total):
+            cell, cost, before, edit = stack.pop()
+            if cell in back:
                 continue
-            if tok == '"':
-                if kind == start:
-                    put(nxt, (quoted, f), cost, back)
-                elif kind == plain:
-                    put(nxt, (plain, f), cost, back)
-                elif kind == quoted:
-                    put(nxt, (closed, f), cost, back)
-                else:
-                    put(nxt, (quoted, f), cost, back)  # "" inside stands for one quote
-                put(nxt, (kind, f), cost + 1, (back, pos, "delete_quote"))
-            elif tok == delim:
-                if kind == quoted:
-                    put(nxt, (quoted, f), cost, back)
-                    put(nxt, (start, f + 1), cost + 1, (back, pos, "insert_quote"))
-                else:
-                    put(nxt, (start, f + 1), cost, back)
-                    put(nxt, (plain if kind == start else kind, f), cost + 1, (back, pos, "delete_delim"))
-            else:
-                if kind in (start, plain):
-                    put(nxt, (plain, f), cost, back)
-                    if kind == start:
-                        put(nxt, (quoted, f), cost + 1, (back, pos, "insert_quote"))
-                elif kind == quoted:
-                    put(nxt, (quoted, f), cost, back)
-                else:  # text after a closing quote: that quote was an inner one and lacks its double
-                    put(nxt, (quoted, f), cost + 1, (back, pos, "insert_quote"))
-        layer = nxt or layer
-    best: tuple[int, tuple | None] | None = None
-    for (kind, f), (cost, back) in layer.items():
-        if kind == quoted:
-            cost, back = cost + 1, (back, len(line), "insert_quote")
-        for _ in range(max(0, fields - f)):
-            cost, back = cost + 1, (back, len(line), "insert_delim")
-        if f > fields:
-            cost += f - fields
-            for _ in range(f - fields):
-                back = (back, len(line), "delete_delim")
-        if best is None or cost < best[0]:
-            best = (cost, back)
-    if best is None:  # more surplus fields than `width`
-        have = line.count(delim) + 1
-        return abs(have - fields) or 1, [(len(line), "delete_delim" if have > fields else "delete_quote")]
-    edits, back = [], best[1]
-    while back:
-        edits.append((back[1], back[2]))
-        back = back[0]
-    return best[0], edits[::-1]
+            back[cell] = (before, edit)
+            i, state, f = cell
+            if i == n and state != _QUOTED and (fields is None or f == fields):
+                return cost, _edits(back, cell)
+            at, kind = tokens[i][:2] if i < n else (len(line), "")
+            if state != _PLAIN:
+                reach((i, _NEXT["q"][state], f), cost + 1, cell, (at, "insert_quote"))
+            if kind == "q":
+                reach((i + 1, state, f), cost + 1, cell, (at, "delete_quote"))
+            elif kind == "d":
+                reach((i + 1, state, f), cost + 1, cell, (at, "delete_delim"))
+            if state != _QUOTED and (fields is None or f < fields):
+                reach((i, _START, f if fields is None else f + 1), cost + 1, cell, (at, "insert_delim"))
+            begins = kind == "d" and state != _QUOTED and fields is not None
+            if i < n and _NEXT[kind][state] is not None and not (begins and f == fields):
+                reach((i + 1, _NEXT[kind][state], f + begins), cost, cell, None)
+        del todo[total]
+
+
+def _edits(back: dict, cell: tuple[int, int, int]) -> list[tuple[int, str]]:
+    out = []
+    while cell is not None:
+        cell, edit = back[cell]
+        if edit:
+            out.append(edit)
+    return out[::-1]
+
+
+def split_sound(line: str, delim: str) -> list[tuple[str, bool]]:
+    """The fields of a line of cost 0 as (value, quoted)."""
+    out, state, text = [], _START, []
+    for _, kind, part in _tokens(line, delim):
+        if kind == "d" and state != _QUOTED:
+            out.append(("".join(text), state == _CLOSED))
+            state, text = _START, []
+            continue
+        if kind != "q" or state in (_PLAIN, _CLOSED):  # a quote after a closed one stands for itself
+            text.append(part)
+        state = _NEXT[kind][state]
+    out.append(("".join(text), state == _CLOSED))
+    return out
 
 
 def check_line(line: str | None, delim: str | None, kinds: list[str]) -> tuple[str | None, int, list[tuple[int, str]], list[str | None]]:
     """(reason or None, cost, edits, values) of one line; one trailing carriage return is not part of it.
 
-    Reasons in order: quoting, column_count, value. A null line, or one of a file whose layout is unknown, has the
-    reason column_count: there is nothing to fill the columns from.
+    Reasons in order: quoting, if the programme finds no way without edits through the line, whatever the number of
+    fields; column_count, if it finds none with the declared number; value. Cost and edits are those of the cheapest
+    repair to the declared number. A null line, or one of a file whose layout is unknown, has the reason column_count:
+    there is nothing to fill the columns from.
     """
     if line is None or not kinds or not delim:
         return "column_count", len(kinds), [], []
     line = line[:-1] if line.endswith("\r") else line
-    found = split_strict(line, delim)
-    if found is not None and len(found) == len(kinds):
-        bad = [i for i, ((v, q), k) in enumerate(zip(found, kinds)) if not fits(v, q, k)]
-        if bad:
-            return "value", 0, [(i, "value") for i in bad], []
-        return None, 0, [], [None if v == "" and not q else v for v, q in found]
     cost, edits = error_parse(line, delim, len(kinds))
-    return ("quoting" if found is None else "column_count"), cost, edits, []
+    if cost:
+        return ("quoting" if error_parse(line, delim, None)[0] else "column_count"), cost, edits, []
+    found = split_sound(line, delim)
+    bad = [i for i, ((v, q), k) in enumerate(zip(found, kinds)) if not fits(v, q, k)]
+    if bad:
+        return "value", 0, [(i, "value") for i in bad], []
+    return None, 0, [], [None if v == "" and not q else v for v, q in found]
 
 
 def parse_lines(rows: DataFrame, files: DataFrame) -> DataFrame:

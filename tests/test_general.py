@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 from hypothesis import given, settings
@@ -89,28 +90,70 @@ def test_schema_steps_skip_repeats_and_unify_rows(spark):
     assert drift.schema_changes(type_def.limit(0)).count() == 0
 
 
+def split_strict(line, delim):
+    """The fields as (value, quoted) by a reading of its own, None where the quoting is broken."""
+    out, i = [], 0
+    while True:
+        if line.startswith('"', i):
+            m = re.compile('"((?:[^"]|"")*)"').match(line, i)
+            if not m or (m.end() < len(line) and not line.startswith(delim, m.end())):
+                return None
+            out.append((m[1].replace('""', '"'), True))
+            i = m.end()
+        else:
+            k = line.find(delim, i)
+            k = len(line) if k < 0 else k
+            out.append((line[i:k], False))
+            i = k
+        if i >= len(line):
+            return out
+        i += len(delim)
+
+
+def one_edit(s, delim):
+    gone = {s[:i] + s[i + 1 :] for i in range(len(s)) if s[i] in ('"', delim)}
+    return gone | {s[:i] + c + s[i:] for i in range(len(s) + 1) for c in ('"', delim)}
+
+
+def is_sound(s, delim, fields):
+    found = split_strict(s, delim)
+    return found is not None and fields in (None, len(found))
+
+
 def brute_cost(line, delim, fields):
-    """Cheapest edits by search over all strings one edit away, to depth 2."""
-    ok = lambda s: (f := parsing.split_strict(s, delim)) is not None and len(f) == fields
-    seen = {line}
-    for cost in range(3):
-        if any(ok(s) for s in seen):
-            return cost
-        new = set()
-        for s in seen:
-            new |= {s[:i] + s[i + 1 :] for i in range(len(s)) if s[i] in ('"', delim)}
-            new |= {s[:i] + c + s[i:] for i in range(len(s) + 1) for c in ('"', delim)}
-        seen = new
-    return 3
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet='a",', max_size=7), st.integers(1, 3))
-def test_error_parse_is_zero_exactly_for_sound_lines(line, fields):
-    found = parsing.split_strict(line, ",")
+    """Cheapest edits by search over all strings one edit away, as deep as it takes."""
+    seen, cost = {line}, 0
+    while not any(is_sound(s, delim, fields) for s in seen):
+        seen, cost = {x for s in seen for x in one_edit(s, delim)}, cost + 1
+    return cost
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet='a",', max_size=6), st.sampled_from([1, 2, 3, None]))
+def test_error_parse_is_the_cheapest(line, fields):
     cost, edits = parsing.error_parse(line, ",", fields)
-    assert (cost == 0) == (found is not None and len(found) == fields)
-    assert brute_cost(line, ",", fields) <= cost
+    assert cost == len(edits) == brute_cost(line, ",", fields)
+    out, done = [], 0  # the edits do repair the line
+    for at, edit in edits:
+        out.append(line[done:at])
+        done = at + edit.startswith("delete")
+        out.append("" if edit.startswith("delete") else '"' if edit == "insert_quote" else ",")
+    assert is_sound("".join(out) + line[done:], ",", fields)
+
+
+def test_error_parse_known_costs_and_long_lines():
+    cost = lambda line, n: parsing.error_parse(line, ",", n)[0]
+    assert cost(',"a', 1) == 2 and cost(",,,a", 1) == 2 and cost('"a"b,c', 3) == 1 and cost("a" * 10**6, 2) == 1
+    assert cost("a," * 3000 + "a", 4) == 2 and cost("," * 3000, 4000) == 999 and cost('a"b' * 2000, 1) == 0
+    assert parsing.error_parse('"a"|"b', "|", 2) == (1, [(6, "insert_quote")])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet='a",', max_size=9))
+def test_sound_lines_split_alike(line):
+    found = split_strict(line, ",")
+    if found is not None:
+        assert parsing.split_sound(line, ",") == found
 
 
 def test_check_line_reasons():
