@@ -1,8 +1,9 @@
 """Vertex-centric algorithms as DataFrame supersteps.
 
 Edges are `src, dst, w` and vertices `id`; results are `id` and values. A superstep is one join and one aggregate.
-State is written to the shared folder every round, so a loop's lineage stays one round long and the edges, written once
-partitioned by source, are read rather than recomputed. Convergence is tested in the aggregate of the same state.
+State is written to the shared folder every round, so a loop's lineage stays one round long; the state before it is
+deleted then. Edges are written once in buckets by source and states in buckets by id, as many as shuffles have
+partitions, so a round shuffles its messages only. What decides convergence is measured while the state is written.
 Undirected algorithms use `both(edges)`. Ties go to the smaller id. An empty graph gives an empty result.
 """
 
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import Grown, bucketed, materialize, measured, release
 
 
 def both(edges: DataFrame, loops: bool = False) -> DataFrame:
@@ -29,8 +30,8 @@ def ends(edges: DataFrame) -> DataFrame:
 
 
 def _frames(edges: DataFrame, vertices: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    e = materialize(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
-    return e, materialize((ends(e) if vertices is None else vertices.select("id")).distinct())
+    e = bucketed(edges.select("src", "dst", F.col("w").cast("double").alias("w")), "src")
+    return e, bucketed((ends(e) if vertices is None else vertices.select("id")).distinct(), "id")
 
 
 # -- Pregel ------------------------------------------------------------------------------------------------------
@@ -43,7 +44,8 @@ def pregel(edges: DataFrame, state: DataFrame, message: dict[str, Column], combi
     `changed`, over old values prefixed old_, holds nowhere. `active`: only changed vertices send.
     """
     values = [c for c in state.columns if c != "id"]
-    state = materialize(state.withColumn("_on", F.lit(True)))
+    edges = bucketed(edges, "src")
+    state = bucketed(state.withColumn("_on", F.lit(True)), "id")
     for _ in range(rounds):
         senders = state.where("_on") if active else state
         sent = senders.select(F.col("id").alias("src"), *[F.col(c).alias(f"s_{c}") for c in values]).join(edges, "src")
@@ -54,8 +56,8 @@ def pregel(edges: DataFrame, state: DataFrame, message: dict[str, Column], combi
             joined = joined.withColumns({f"g_{k}": F.lit(seen[k]) for k in aggregators})
         new = joined.select("id", *[F.col(c).alias(f"old_{c}") for c in values], *[update.get(c, F.col(c)).alias(c) for c in values])
         on = changed if changed is not None else F.lit(True)
-        state = materialize(new.withColumn("_on", F.coalesce(on, F.lit(False))).select("id", *values, "_on"))
-        if changed is not None and state.where("_on").isEmpty():
+        state, seen = measured(new.withColumn("_on", F.coalesce(on, F.lit(False))).select("id", *values, "_on"), {"on": F.count_if(F.col("_on"))}, "id", state)
+        if changed is not None and not seen["on"]:
             break
     return state.select("id", *values)
 
@@ -68,14 +70,16 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, alpha: float =
     if not n:
         return v.select("id", F.lit(0.0).alias("rank"))
     degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    flow = materialize(e.select("src", "dst").join(degree, "src"))
-    state = materialize(v.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("deg").isNull().alias("sink"), F.lit(0.0).alias("change")))
+    flow = materialize(e.select("src", "dst").join(degree, "src"), "src", e)
+    values = {"lost": F.sum(F.when(F.col("sink"), F.col("rank"))), "change": F.sum("change")}
+    begin = v.join(flow.select(F.col("src").alias("id"), "deg").distinct(), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("deg").isNull().alias("sink"), F.lit(0.0).alias("change"))
+    state, seen = measured(begin, values, "id")
     for _ in range(max_iter):
-        lost = state.agg(F.sum(F.when(F.col("sink"), F.col("rank")))).first()[0] or 0.0
+        lost = seen["lost"] or 0.0
         got = flow.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("m"))
         rank = alpha * F.coalesce("m", F.lit(0.0)) + (1 - alpha) / n + alpha * lost / n
-        state = materialize(state.join(got, "id", "left").select("id", rank.alias("rank"), "sink", F.abs(rank - F.col("rank")).alias("change")))
-        if state.agg(F.sum("change")).first()[0] < tol * n:
+        state, seen = measured(state.join(got, "id", "left").select("id", rank.alias("rank"), "sink", F.abs(rank - F.col("rank")).alias("change")), values, "id", state)
+        if seen["change"] < tol * n:
             break
     return state.select("id", "rank")
 
@@ -85,13 +89,12 @@ def pagerank_fixed(edges: DataFrame, vertices: DataFrame | None = None, delta: f
     e, v = _frames(edges, vertices)
     n = max(v.count(), 1)
     degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    flow = materialize(e.select("src", "dst").join(degree, "src"))
-    state = v.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("deg").isNull().alias("sink"))
+    flow = materialize(e.select("src", "dst").join(degree, "src"), "src", e)
+    state = materialize(v.join(flow.select(F.col("src").alias("id"), "deg").distinct(), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("deg").isNull().alias("sink")), "id")
     for _ in range(max_round):
-        state = materialize(state)
         got = flow.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("m"))
         own = F.when(F.col("sink"), delta * F.col("rank")).otherwise(0.0)
-        state = state.join(got, "id", "left").select("id", ((1 - delta) / n + delta * F.coalesce("m", F.lit(0.0)) + own).alias("rank"), "sink")
+        state = materialize(state.join(got, "id", "left").select("id", ((1 - delta) / n + delta * F.coalesce("m", F.lit(0.0)) + own).alias("rank"), "sink"), "id", state)
     return state.select("id", "rank")
 
 
@@ -100,25 +103,23 @@ def articlerank(edges: DataFrame, vertices: DataFrame | None = None, delta: floa
     e, v = _frames(edges, vertices)
     n = max(v.count(), 1)
     average = e.count() / n
-    flow = materialize(e.select("src", "dst").join(e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src"))
-    state = v.select("id", F.lit(0.0).alias("rank"))
+    flow = materialize(e.select("src", "dst").join(e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src"), "src", e)
+    state = materialize(v.select("id", F.lit(0.0).alias("rank")), "id")
     for _ in range(max_round):
-        state = materialize(state)
         got = flow.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / (F.col("deg") + average)).alias("m"))
-        state = state.join(got, "id", "left").select("id", ((1 - delta) + delta * F.coalesce("m", F.lit(0.0))).alias("rank"))
+        state = materialize(state.join(got, "id", "left").select("id", ((1 - delta) + delta * F.coalesce("m", F.lit(0.0))).alias("rank")), "id", state)
     return state
 
 
 def personalized_pagerank(edges: DataFrame, source: object, vertices: DataFrame | None = None, max_round: int = 10) -> DataFrame:
     """`id, rank`: half of every step restarts at the source; degrees are undirected."""
     e, v = _frames(both(edges), vertices)
-    flow = materialize(e.select("src", "dst").join(e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src"))
+    flow = materialize(e.select("src", "dst").join(e.groupBy("src").agg(F.count(F.lit(1)).alias("deg")), "src"), "src", e)
     start = F.when(F.col("id") == F.lit(source), 1.0).otherwise(0.0)
-    state = v.select("id", start.alias("rank"))
+    state = materialize(v.select("id", start.alias("rank")), "id")
     for _ in range(max_round):
-        state = materialize(state)
         got = flow.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("m"))
-        state = state.join(got, "id", "left").select("id", (0.5 * start + 0.5 * F.coalesce("m", F.lit(0.0))).alias("rank"))
+        state = materialize(state.join(got, "id", "left").select("id", (0.5 * start + 0.5 * F.coalesce("m", F.lit(0.0))).alias("rank")), "id", state)
     return state
 
 
@@ -128,18 +129,19 @@ def hits(edges: DataFrame, vertices: DataFrame | None = None, tolerance: float =
     n = v.count()
     if not n:
         return v.select("id", F.lit(0.0).alias("hub"), F.lit(0.0).alias("auth"))
-    state = materialize(v.select("id", F.lit(1.0 / n).alias("hub"), F.lit(0.0).alias("auth")))
+    back = bucketed(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "src")
+    state = materialize(v.select("id", F.lit(1.0 / n).alias("hub"), F.lit(0.0).alias("auth")), "id")
     size = (lambda c: F.max(c)) if norm == "max" else (lambda c: F.sqrt(F.sum(F.col(c) * F.col(c))))
     for _ in range(max_round):
         a = e.join(state.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
-        a = materialize(v.join(a, "id", "left").select("id", F.coalesce("a", F.lit(0.0)).alias("a")))
-        top = a.agg(size("a")).first()[0] or 1.0
-        h = e.join(a.select(F.col("id").alias("dst"), (F.col("a") / top).alias("a")), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("h"))
-        h = materialize(a.select("id", (F.col("a") / top).alias("auth")).join(h, "id", "left").select("id", "auth", F.coalesce("h", F.lit(0.0)).alias("h")))
-        top = h.agg(size("h")).first()[0] or 1.0
+        a, seen = measured(v.join(a, "id", "left").select("id", F.coalesce("a", F.lit(0.0)).alias("a")), {"top": size("a")}, "id")
+        top = seen["top"] or 1.0
+        h = back.join(a.select(F.col("id").alias("src"), (F.col("a") / top).alias("a")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("a").alias("h"))
+        h, seen = measured(a.select("id", (F.col("a") / top).alias("auth")).join(h, "id", "left").select("id", "auth", F.coalesce("h", F.lit(0.0)).alias("h")), {"top": size("h")}, "id", a)
+        top = seen["top"] or 1.0
         new = h.join(state.select("id", F.col("hub").alias("old")), "id").select("id", (F.col("h") / top).alias("hub"), "auth", F.abs(F.col("h") / top - F.col("old")).alias("d"))
-        state = materialize(new)
-        if state.agg(F.sum("d")).first()[0] <= tolerance:
+        state, seen = measured(new, {"d": F.sum("d")}, "id", [state, h])
+        if seen["d"] <= tolerance:
             break
     if normalized:
         s = state.agg(F.sum("hub").alias("h"), F.sum("auth").alias("a")).first()
@@ -161,45 +163,60 @@ def eigenvector_centrality(edges: DataFrame, vertices: DataFrame | None = None,
     """`id, centrality`: x + A x by incoming edges, divided by its L2 norm, until the change is below n * tolerance."""
     e, v = _frames(edges, vertices)
     n = max(v.count(), 1)
-    state = materialize(v.select("id", F.lit(1.0 / n).alias("x")))
+    state = materialize(v.select("id", F.lit(1.0 / n).alias("x")), "id")
     for _ in range(max_round):
         got = e.join(state.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("w")).alias("m"))
-        raw = materialize(state.join(got, "id", "left").select("id", F.col("x").alias("old"), (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("y")))
-        norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
+        raw, seen = measured(state.join(got, "id", "left").select("id", F.col("x").alias("old"), (F.col("x") + F.coalesce("m", F.lit(0.0))).alias("y")), {"norm": F.sqrt(F.sum(F.col("y") * F.col("y")))}, "id", state)
+        norm = seen["norm"] or 1.0
         new = raw.select("id", (F.col("y") / norm).alias("x"), F.abs(F.col("y") / norm - F.col("old")).alias("d"))
-        state = materialize(new)
-        if (state.agg(F.sum("d")).first()[0] or 0.0) < n * tolerance:
+        state, seen = measured(new, {"d": F.sum("d")}, "id", raw)
+        if (seen["d"] or 0.0) < n * tolerance:
             break
     return state.select("id", F.col("x").alias("centrality"))
 
 
-def katz_centrality(edges: DataFrame, vertices: DataFrame | None = None, alpha: float = 0.1, beta: float = 1.0, tolerance: float = 1e-6, max_round: int = 100, normalized: bool = True) -> DataFrame:
-    """`id, centrality`: alpha A x + beta from 0, until the change is below n * tolerance; L2 normalised at the end."""
+def katz_centrality(edges: DataFrame, vertices: DataFrame | None = None, alpha: float = 0.1, beta: float = 1.0, tolerance: float = 1e-6, max_round: int = 100, normalized: bool = True, degree_threshold: int = 1_000_000_000) -> DataFrame:
+    """`id, centrality`: alpha A x + beta from 0, until the change is below n * tolerance; L2 normalised at the end.
+
+    Vertices with more incoming edges than the threshold take no messages."""
     e, v = _frames(edges, vertices)
+    if degree_threshold < 1_000_000_000:
+        small = e.groupBy("dst").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= degree_threshold)
+        e = materialize(e.join(small, "dst", "left_semi"), "src", e)
     n = max(v.count(), 1)
-    state = materialize(v.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("d")))
+    state = materialize(v.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("d")), "id")
     for _ in range(max_round):
         got = e.join(state.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("w")).alias("m"))
         y = alpha * F.coalesce("m", F.lit(0.0)) + beta
-        state = materialize(state.join(got, "id", "left").select("id", y.alias("x"), F.abs(y - F.col("x")).alias("d")))
-        if (state.agg(F.sum("d")).first()[0] or 0.0) < n * tolerance:
+        state, seen = measured(state.join(got, "id", "left").select("id", y.alias("x"), F.abs(y - F.col("x")).alias("d")), {"d": F.sum("d")}, "id", state)
+        if (seen["d"] or 0.0) < n * tolerance:
             break
     norm = (state.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0) if normalized else 1.0
     return state.select("id", (F.col("x") / norm).alias("centrality"))
 
 
 def _multi_source(edges: DataFrame, sources: DataFrame, weighted: bool, rounds: int = 1_000_000) -> DataFrame:
-    """`source, id, dist` from every source (column `id`), by frontier."""
-    e = materialize(edges.select("src", "dst", (F.col("w") if weighted else F.lit(1.0)).alias("w")))
-    best = materialize(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(True).alias("new")))
+    """`source, id, dist` from every source (column `id`), by frontier.
+
+    Without weights a pair is final when it is first reached: layers are written once and never touched again. With
+    weights a layer holds the pairs that improved; those that a later layer improved are superseded by it.
+    """
+    e = bucketed(edges.select("src", "dst", (F.col("w") if weighted else F.lit(1.0)).alias("w")), "src")
+    front = materialize(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist")).distinct())
+    known = Grown(front)
     for _ in range(rounds):
-        step = best.where("new").select("source", F.col("id").alias("src"), "dist").join(e, "src").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
-        joined = best.join(step, ["source", "id"], "full")
-        better = F.col("d").isNotNull() & (F.col("dist").isNull() | (F.col("d") < F.col("dist")))
-        best = materialize(joined.select("source", "id", F.when(better, F.col("d")).otherwise(F.col("dist")).alias("dist"), better.alias("new")))
-        if best.where("new").isEmpty():
+        step = front.select("source", F.col("id").alias("src"), "dist").join(e, "src").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        if weighted:
+            old = known.rows().select("source", "id", F.col("dist").alias("old"))
+            new = step.join(old, ["source", "id"], "left").groupBy("source", "id", "dist").agg(F.min("old").alias("old")).where("old is null or dist < old").drop("old")
+        else:
+            new = step.join(known.rows().select("source", "id"), ["source", "id"], "left_anti")
+        front, seen = measured(new, {"n": F.count(F.lit(1))})
+        if not seen["n"]:
             break
-    return best.select("source", "id", "dist")
+        known.add(front)
+    release(e)
+    return known.rows().groupBy("source", "id").agg(F.min("dist").alias("dist")) if weighted else known.rows()
 
 
 def closeness_centrality(edges: DataFrame, vertices: DataFrame | None = None, wf_improved: bool = True, weighted: bool = False) -> DataFrame:
@@ -274,6 +291,29 @@ def voterank(edges: DataFrame, num_of_nodes: int = 0) -> DataFrame:
     return v.sparkSession.createDataFrame(chosen, f"id {dict(v.dtypes)['id']}, rank int")
 
 
+def eigenvector_flash(edges: DataFrame, max_round: int = 10) -> DataFrame:
+    """`id, centrality`: fixed rounds over edges in both directions, each divided by the root of the sum."""
+    e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    e, v = _frames(e.withColumn("w", F.lit(1.0)), None)
+    n = max(v.count(), 1)
+    state, root = materialize(v.select("id", F.lit(1.0 / n).alias("x")), "id"), 1.0
+    for _ in range(max_round):
+        got = e.join(state.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") / F.lit(root)).alias("m"))
+        state, seen = measured(v.join(got, "id", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("x")), {"s": F.sum("x")}, "id", state)
+        root = (seen["s"] or 1.0) ** 0.5
+    return state.select("id", (F.col("x") / root).alias("centrality"))
+
+
+def katz_flash(edges: DataFrame, alpha: float = 0.1, max_round: int = 10) -> DataFrame:
+    """`id, centrality`: fixed rounds from 1, alpha times the sum of 1 + x over outgoing edges."""
+    e, v = _frames(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("w")), None)
+    state = materialize(v.select("id", F.lit(1.0).alias("x")), "id")
+    for _ in range(max_round):
+        got = e.join(state.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") + 1).alias("m"))
+        state = materialize(v.join(got, "id", "left").select("id", (F.coalesce("m", F.lit(0.0)) * alpha).alias("x")), "id", state)
+    return state.select("id", F.col("x").alias("centrality"))
+
+
 # -- traversal ---------------------------------------------------------------------------------------------------
 def sssp(edges: DataFrame, source: object, vertices: DataFrame | None = None, weighted: bool = True, undirected: bool = False) -> DataFrame:
     """`id, distance`, null where the source doesn't reach; weights must not be negative."""
@@ -282,19 +322,38 @@ def sssp(edges: DataFrame, source: object, vertices: DataFrame | None = None, we
     return v.join(d.select("id", F.col("dist").alias("distance")), "id", "left")
 
 
+def sssp_path(edges: DataFrame, source: object, weighted: bool = True) -> DataFrame:
+    """`src, dst, distance`: the edges of a tree of shortest paths, the predecessor of least id on ties."""
+    e = bucketed(edges.select("src", "dst", (F.col("w").cast("double") if weighted else F.lit(1.0)).alias("w")), "src")
+    d = materialize(_multi_source(e, ends(e).where(F.col("id") == F.lit(source)), weighted).select("id", "dist"))
+    hops = e.join(d.select(F.col("id").alias("src"), F.col("dist").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("dist").alias("dd")), "dst")
+    on = (F.col("ds") + F.col("w") == F.col("dd")) & (F.col("ds") < F.col("dd")) & (F.col("dst") != F.lit(source))
+    return hops.where(on).groupBy("dst").agg(F.min("src").alias("src"), F.first("dd").alias("distance")).select("src", "dst", "distance")
+
+
+def random_multi_bfs(edges: DataFrame, k: int = 64, seed: int = 0, sources: DataFrame | None = None) -> DataFrame:
+    """`id, res`: the greatest distance from any of k sources (the first by a hash of the seed) that reaches it; -1 if none does."""
+    v = ends(edges)
+    picked = v.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k) if sources is None else sources
+    d = _multi_source(edges, picked.select("id"), False).groupBy("id").agg(F.max("dist").cast("int").alias("res"))
+    return v.join(d, "id", "left").fillna(-1, ["res"])
+
+
 def bfs(edges: DataFrame, source: object, vertices: DataFrame | None = None, undirected: bool = False, depth_limit: int | None = None) -> DataFrame:
     """`id, depth, predecessor` of reached vertices; the source precedes itself, ties go to the smaller predecessor."""
     e, v = _frames(both(edges) if undirected else edges, vertices)
     level = materialize(v.where(F.col("id") == F.lit(source)).select("id", F.lit(0).alias("depth"), F.col("id").alias("predecessor")))
-    seen, k = level, 0
+    known, k = Grown(level), 0
     while depth_limit is None or k < depth_limit:
         k += 1
         step = level.select(F.col("id").alias("src")).join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("predecessor"))
-        level = materialize(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("depth"), "predecessor"))
-        if level.isEmpty():
+        new = step.join(known.rows().select("id"), "id", "left_anti").select("id", F.lit(k).alias("depth"), "predecessor")
+        level, seen = measured(new, {"n": F.count(F.lit(1))})
+        if not seen["n"]:
             break
-        seen = materialize(seen.unionByName(level))
-    return seen
+        known.add(level)
+    release(e, v)
+    return known.rows()
 
 
 def all_pairs_shortest_path_length(edges: DataFrame, vertices: DataFrame | None = None, weighted: bool = True) -> DataFrame:
@@ -340,26 +399,27 @@ def all_simple_paths(edges: DataFrame, source: object, targets: list, cutoff: in
 def wcc(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """`id, component` (the least id): least labels along edges in both directions, with pointer jumping."""
     e, v = _frames(both(edges), vertices)
-    state = materialize(v.select("id", F.col("id").alias("component")))
+    state = materialize(v.select("id", F.col("id").alias("component")), "id")
     while True:
         got = e.join(state.select(F.col("id").alias("src"), "component"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
         near = state.join(got, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("via"), F.col("component").alias("was"))
         jump = state.select(F.col("id").alias("via"), F.col("component").alias("far"))
         new = near.join(jump, "via").select("id", F.col("far").alias("component"), (F.col("far") < F.col("was")).alias("moved"))
-        new = materialize(new)
-        state = new.select("id", "component")
-        if new.where("moved").isEmpty():
-            return state
+        state, seen = measured(new, {"moved": F.count_if(F.col("moved"))}, "id", state)
+        if not seen["moved"]:
+            release(e, v)
+            return state.select("id", "component")
 
 
 def _spread(edges: DataFrame, state: DataFrame) -> DataFrame:
     """Least `x` of all vertices that reach a vertex, its own included."""
+    state = materialize(state, "id")
     while True:
         got = edges.join(state.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("x").alias("m"))
-        new = materialize(state.join(got, "id", "left").select("id", F.least("x", F.coalesce("m", "x")).alias("x"), (F.col("m") < F.col("x")).alias("moved")))
-        state = new.select("id", "x")
-        if new.where("moved").isEmpty():
-            return state
+        new = state.select("id", "x").join(got, "id", "left").select("id", F.least("x", F.coalesce("m", "x")).alias("x"), (F.col("m") < F.col("x")).alias("moved"))
+        state, seen = measured(new, {"moved": F.count_if(F.col("moved"))}, "id", state)
+        if not seen["moved"]:
+            return state.select("id", "x")
 
 
 def scc(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -391,15 +451,38 @@ def scc(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
 def label_propagation(edges: DataFrame, vertices: DataFrame | None = None, max_round: int = 10) -> DataFrame:
     """`id, label`: the commonest label of the neighbours each round, ties to the smaller label."""
     e, v = _frames(both(edges), vertices)
-    state = materialize(v.select("id", F.col("id").alias("label")))
+    state = materialize(v.select("id", F.col("id").alias("label")), "id")
     for _ in range(max_round):
         votes = e.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy("dst", "label").agg(F.count(F.lit(1)).alias("n"))
         won = votes.groupBy(F.col("dst").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("won"))
-        new = materialize(state.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("moved")))
-        state = new.select("id", "label")
-        if new.where("moved").isEmpty():
+        new = state.join(won, "id", "left").select("id", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("moved"))
+        state, seen = measured(new, {"moved": F.count_if(F.col("moved"))}, "id", state)
+        if not seen["moved"]:
             break
-    return state
+    return state.select("id", "label")
+
+
+def fluid_communities(edges: DataFrame, k: int = 10, max_round: int = 100, seed: int = 0) -> DataFrame:
+    """`id, label` (0 to k - 1, -1 where no community came): k seeds, the first by a hash, spread with density 1 / size.
+
+    Each round a vertex takes the community of greatest total density among itself and its neighbours, its own on ties,
+    else the smaller label. Ends when nothing moves or every vertex that moves only returns to its label of two rounds before.
+    """
+    e, v = _frames(both(edges), None)
+    w = Window.orderBy("h", "id")
+    first = v.select("id", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "id").limit(k).select("id", (F.row_number().over(w) - 1).alias("label"))
+    state = materialize(v.join(first, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"), F.lit(-2).alias("l1")), "id")
+    for _ in range(max_round):
+        size = state.where("label >= 0").groupBy("label").agg((F.lit(1.0) / F.count(F.lit(1))).alias("density"))
+        near = e.join(state.select(F.col("id").alias("src"), "label"), "src").select(F.col("dst").alias("id"), "label").unionByName(state.select("id", "label")).where("label >= 0")
+        votes = near.groupBy("id", "label").agg(F.count(F.lit(1)).alias("n")).join(size, "label").select("id", "label", F.round(F.col("n") * F.col("density"), 10).alias("d"))
+        own = state.select("id", F.col("label").alias("own"), F.col("l1").alias("l2"))
+        best = votes.join(own, "id").groupBy("id").agg(F.min_by("label", F.struct(-F.col("d"), F.col("label") != F.col("own"), "label")).alias("to"))
+        new = own.join(best, "id", "left").select("id", F.coalesce("to", "own").alias("label"), F.col("own").alias("l1"), ((F.coalesce("to", "own") != F.col("own")) & (F.coalesce("to", "own") != F.col("l2"))).alias("moved"))
+        state, seen = measured(new, {"moved": F.count_if(F.col("moved"))}, "id", state)
+        if not seen["moved"]:
+            break
+    return state.select("id", "label")
 
 
 def k_core(edges: DataFrame, k: int) -> DataFrame:
@@ -419,15 +502,16 @@ def core_numbers(edges: DataFrame, vertices: DataFrame | None = None) -> DataFra
     """`id, core`: each vertex's value falls to the largest h such that h neighbours have at least h, to the fixpoint."""
     e, v = _frames(both(edges), vertices)
     degree = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("core"))
-    state = materialize(v.join(degree, "id", "left").fillna(0, ["core"]))
-    w = Window.partitionBy("dst").orderBy(F.desc("core"))
+    state = materialize(v.join(degree, "id", "left").fillna(0, ["core"]), "id")
+    w = Window.partitionBy("id").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)
     while True:
-        seen = e.join(state.select(F.col("id").alias("src"), "core"), "src").withColumn("r", F.row_number().over(w))
-        h = seen.groupBy(F.col("dst").alias("id")).agg(F.max(F.least("r", "core")).alias("h"))
-        new = materialize(state.join(h, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.coalesce("h", F.lit(0)) < F.col("core")).alias("moved")))
-        state = new.select("id", "core")
-        if new.where("moved").isEmpty():
-            return state
+        # how many neighbours have each value: a hub's neighbours become one row per value before they meet
+        have = e.join(state.select(F.col("id").alias("src"), "core"), "src").groupBy(F.col("dst").alias("id"), "core").agg(F.count(F.lit(1)).alias("n"))
+        h = have.select("id", F.least(F.sum("n").over(w), "core").cast("int").alias("h")).groupBy("id").agg(F.max("h").alias("h"))
+        new = state.select("id", "core").join(h, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.coalesce("h", F.lit(0)) < F.col("core")).alias("moved"))
+        state, seen = measured(new, {"moved": F.count_if(F.col("moved"))}, "id", state)
+        if not seen["moved"]:
+            return state.select("id", "core")
 
 
 def k_shell(edges: DataFrame, k: int) -> DataFrame:
@@ -435,10 +519,10 @@ def k_shell(edges: DataFrame, k: int) -> DataFrame:
     return core_numbers(edges).where(F.col("core") == k).select("id")
 
 
-def louvain(edges: DataFrame, vertices: DataFrame | None = None, min_progress: float = 1e-4, max_level: int = 10, max_round: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, vertices: DataFrame | None = None, min_progress: float = 1e-4, max_level: int = 10, max_round: int = 10, progress_tries: int = 1) -> DataFrame:
     """`id, community`: rounds of local moves (to the neighbouring community of most gain, ties to the smaller id; only
     to a smaller id in odd and a larger one in even rounds, so that neighbours don't swap), then contraction, while
-    modularity grows by `min_progress`."""
+    modularity grows by `min_progress`; `progress_tries` levels may fall short of that before it ends."""
     e0, v = _frames(both(edges), vertices)
     members = materialize(v.select("id", F.col("id").alias("community")))
     e = e0
@@ -475,8 +559,10 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, min_progress: f
         squares = e.groupBy("src").agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
         q = inner / total - squares / (total * total)
         if q - last < min_progress:
-            break
-        last = q
+            progress_tries -= 1
+            if progress_tries <= 0:
+                break
+        last = max(q, last)
         members = materialize(members.join(state.select(F.col("id").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
     return members
 
@@ -505,16 +591,47 @@ def triangles(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     return v.join(t, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
 
 
-def clustering(edges: DataFrame, vertices: DataFrame | None = None, degree_threshold: int = 1_000_000_000) -> DataFrame:
-    """`id, coefficient`: triangles over pairs of neighbours (undirected); 0 below two neighbours or above the threshold."""
+def _directed_degrees(edges: DataFrame) -> DataFrame:
+    """`id, dt, dr`: distinct edges in and out, and how many neighbours are both."""
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    sides = e.select(F.col("src").alias("id"), F.col("dst").alias("o")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("o")))
+    pairs = sides.groupBy("id", "o").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("id").agg(F.sum("n").alias("dt"), F.count_if(F.col("n") == 2).alias("dr"))
+
+
+def triangle_codes(edges: DataFrame) -> DataFrame:
+    """`a, b, c, ab, bc, ac`: each triangle once, with the directions of its edges (1 as written, 2 the other way, 3 both)."""
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    code = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(1).alias("k")).unionByName(e.select(F.col("dst").alias("x"), F.col("src").alias("y"), F.lit(2).alias("k"))).groupBy("x", "y").agg(F.sum("k").alias("k"))
+    o = oriented(edges).join(code.select(F.col("x").alias("src"), F.col("y").alias("dst"), "k"), ["src", "dst"])
+    o = materialize(o)
+    x, y = o.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("k").alias("ab")), o.select(F.col("src").alias("a"), F.col("dst").alias("c"), F.col("k").alias("ac"))
+    close = o.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("k").alias("bc"))
+    return x.join(y, "a").where("b <> c").join(close, ["b", "c"])
+
+
+def clustering(edges: DataFrame, vertices: DataFrame | None = None, degree_threshold: int = 1_000_000_000, directed: bool = False) -> DataFrame:
+    """`id, coefficient`: triangles over pairs of neighbours; 0 below two neighbours or above the threshold.
+
+    Directed: all ways to go round the triangles of a vertex over those that its edges would allow.
+    """
+    if directed:
+        v = ends(edges) if vertices is None else vertices.select("id").distinct()
+        ways = F.lit(1)
+        for c in ("ab", "bc", "ac"):
+            ways = ways * F.when(F.col(c) == 3, 2).otherwise(1)
+        t = triangle_codes(edges).select(F.explode(F.array("a", "b", "c")).alias("id"), ways.alias("k")).groupBy("id").agg(F.sum("k").alias("t"))
+        most = F.col("dt") * (F.col("dt") - 1) - 2 * F.col("dr")
+        rows = v.join(_directed_degrees(edges), "id", "left").join(t, "id", "left")
+        return rows.select("id", F.when((most > 0) & (F.col("dt") <= degree_threshold), F.coalesce("t", F.lit(0)) / most).otherwise(0.0).alias("coefficient"))
     degree = both(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
     pairs = F.col("d") * (F.col("d") - 1) / 2
     ok = (F.col("d") > 1) & (F.col("d") <= degree_threshold)
     return triangles(edges, vertices).join(degree, "id", "left").select("id", F.when(ok, F.col("triangles") / pairs).otherwise(0.0).alias("coefficient"))
 
 
-def avg_clustering(edges: DataFrame) -> DataFrame:
-    return clustering(edges).agg(F.avg("coefficient").alias("value"))
+def avg_clustering(edges: DataFrame, directed: bool = False) -> DataFrame:
+    return clustering(edges, directed=directed).agg(F.avg("coefficient").alias("value"))
 
 
 def transitivity(edges: DataFrame) -> DataFrame:
@@ -550,32 +667,50 @@ def tailed_triangle_count(edges: DataFrame) -> DataFrame:
     return triangles(edges).join(degree, "id").agg(F.coalesce(F.sum(F.col("triangles") * (F.col("d") - 2)), F.lit(0)).alias("n"))
 
 
-def _codegree(edges: DataFrame) -> DataFrame:
-    e = both(edges).select("src", "dst")
-    x, y = e.select(F.col("src").alias("m"), F.col("dst").alias("a")), e.select(F.col("src").alias("m"), F.col("dst").alias("b"))
-    return x.join(y, "m").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-
-
 def rectangle_count(edges: DataFrame) -> DataFrame:
-    """One row `n`: cycles of four vertices."""
-    return _codegree(edges).agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0)).alias("c")).select(F.expr("c div 2").alias("n"))
+    """One row `n`: cycles of four vertices, each at its vertex of highest (degree, id): paths of two edges from there,
+    over vertices that come before it, that end at one vertex make a cycle with each other. No vertex pairs up all its
+    neighbours."""
+    e = both(edges).select("src", "dst")
+    rank = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+    key = lambda c: rank.select(F.col("id").alias(c), F.struct("d", "id").alias(f"r_{c}"))
+    ranked = materialize(e.join(key("src"), "src").join(key("dst"), "dst"))
+    down = ranked.where("r_dst < r_src").select(F.col("src").alias("v"), F.col("r_src").alias("top"), F.col("dst").alias("u"))
+    step = ranked.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col("r_dst").alias("r"))
+    paths = down.join(step, "u").where("r < top").groupBy("v", "w").agg(F.count(F.lit(1)).alias("k"))
+    return paths.agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0)).alias("n"))
 
 
 def diamond_count(edges: DataFrame) -> DataFrame:
     """One row `n`: two triangles over one edge."""
-    e = both(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return _codegree(edges).join(e, ["a", "b"], "left_semi").agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0)).alias("n"))
+    sides = F.array(*[F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")) for x, y in (("a", "b"), ("b", "c"), ("a", "c"))])
+    at = triangle_list(edges).select(F.explode(sides).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("k"))
+    return at.agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0)).alias("n"))
 
 
 def directed_triangle_count(edges: DataFrame, kind: str) -> DataFrame:
-    """One row `n`: cyclic (a->b->c->a) or acyclic (a->b->c, a->c) triangles of directed edges."""
-    e = materialize(edges.select("src", "dst").where("src <> dst").distinct())
-    two = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").where("a <> c")
-    if kind == "cyclic":
-        close = e.select(F.col("src").alias("c"), F.col("dst").alias("a"))
-        return two.join(close, ["c", "a"], "left_semi").where("a < b and a < c").agg(F.count(F.lit(1)).alias("n"))
-    close = e.select(F.col("src").alias("a"), F.col("dst").alias("c"))
-    return two.join(close, ["a", "c"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    """One row `n`, over triangles listed once by degree order:
+
+    cyclic (x->y->z->x), acyclic (x->y->z, x->z), and those with an edge in both directions x<->y: cycle_plus (y->z->x),
+    in_plus (x->z, y->z) and out_plus (z->x, z->y).
+    """
+    to = {}
+    for x, y, c in (("a", "b", "ab"), ("b", "c", "bc"), ("a", "c", "ac")):
+        to[x, y], to[y, x] = (F.col(c).bitwiseAND(1) != 0), (F.col(c).bitwiseAND(2) != 0)
+    total = F.lit(0)
+    for x, y, z in (("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"), ("b", "c", "a"), ("c", "a", "b"), ("c", "b", "a")):
+        two = to[x, y] & to[y, x]
+        if kind == "cyclic":
+            found = to[x, y] & to[y, z] & to[z, x] if x == "a" else None
+        elif kind == "acyclic":
+            found = to[x, y] & to[y, z] & to[x, z]
+        elif kind == "cycle_plus":
+            found = two & to[y, z] & to[z, x]
+        else:
+            found = (two & (to[x, z] & to[y, z] if kind == "in_plus" else to[z, x] & to[z, y])) if x < y else None
+        if found is not None:
+            total = total + found.cast("int")
+    return triangle_codes(edges).agg(F.coalesce(F.sum(total), F.lit(0)).cast("long").alias("n"))
 
 
 # -- sets, matchings, forests ------------------------------------------------------------------------------------
@@ -664,17 +799,24 @@ def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
 
 
 # -- assortativity and boundaries --------------------------------------------------------------------------------
-def degree_assortativity(edges: DataFrame, x: str = "out", y: str = "in") -> DataFrame:
-    """One row `value`: correlation of the source's x-degree with the destination's y-degree over all edges."""
+def degree_assortativity(edges: DataFrame, x: str = "out", y: str = "in", weighted: bool = False) -> DataFrame:
+    """One row `value`: correlation of the source's x-degree with the destination's y-degree over all edges; degrees count
+    edges, or add up their weights."""
     side = {"out": "src", "in": "dst"}
 
     def degree(kind: str) -> DataFrame:
-        return edges.groupBy(F.col(side[kind]).alias("id")).agg(F.count(F.lit(1)).alias("d"))
+        return edges.groupBy(F.col(side[kind]).alias("id")).agg((F.sum("w") if weighted else F.count(F.lit(1))).alias("d"))
 
     rows = edges.join(degree(x).select(F.col("id").alias("src"), F.col("d").alias("dx")), "src", "left").join(degree(y).select(F.col("id").alias("dst"), F.col("d").alias("dy")), "dst", "left")
     return rows.fillna(0, ["dx", "dy"]).agg(F.corr("dx", "dy").alias("value"))
 
 
+def numeric_assortativity(edges: DataFrame, attributes: DataFrame) -> DataFrame:
+    """One row `value`: correlation of a numeric attribute (`id, a`) over the two ends of all edges."""
+    rows = edges.join(attributes.select(F.col("id").alias("src"), F.col("a").alias("x")), "src").join(attributes.select(F.col("id").alias("dst"), F.col("a").alias("y")), "dst")
+    return rows.agg(F.corr("x", "y").alias("value"))
+
+
 def attribute_assortativity(edges: DataFrame, attributes: DataFrame) -> DataFrame:
     """One row `value` by the mixing matrix of `attributes` (`id, a`): (trace - Σ a b) / (1 - Σ a b)."""
     rows = edges.join(attributes.select(F.col("id").alias("src"), F.col("a").alias("x")), "src").join(attributes.select(F.col("id").alias("dst"), F.col("a").alias("y")), "dst")
@@ -688,17 +830,18 @@ def attribute_assortativity(edges: DataFrame, attributes: DataFrame) -> DataFram
     return trace.select(((F.col("t") / n - s) / (1 - s)).alias("value"))
 
 
-def average_degree_connectivity(edges: DataFrame, source: str = "in+out", target: str = "in+out") -> DataFrame:
-    """`degree, connectivity`: mean target degree of the neighbours of vertices of each source degree."""
+def average_degree_connectivity(edges: DataFrame, source: str = "in+out", target: str = "in+out", weighted: bool = False) -> DataFrame:
+    """`degree, connectivity`: mean target degree of the neighbours of vertices of each source degree, by edge weight if asked."""
 
     def degree(kind: str) -> DataFrame:
         cols = {"in": ["dst"], "out": ["src"], "in+out": ["src", "dst"]}[kind]
         return edges.select(F.explode(F.array(*cols)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
 
-    out, back = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    w = (F.col("w") if weighted else F.lit(1)).alias("w")
+    out, back = edges.select("src", "dst", w), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), w)
     near = {"out": out, "in": back, "in+out": out.unionByName(back)}[source]
     rows = near.join(degree(source).select(F.col("id").alias("src"), F.col("d").alias("degree")), "src").join(degree(target).select(F.col("id").alias("dst"), F.col("d").alias("dt")), "dst")
-    return rows.groupBy("degree").agg((F.sum("dt") / F.count(F.lit(1))).alias("connectivity"))
+    return rows.groupBy("degree").agg((F.sum(F.col("dt") * F.col("w")) / F.sum("w")).alias("connectivity"))
 
 
 def node_boundary(edges: DataFrame, s: DataFrame, t: DataFrame | None = None) -> DataFrame:
@@ -730,6 +873,7 @@ REGISTRY: dict[str, Algorithm] = {
         label_propagation, k_core, core_numbers, k_shell, louvain, triangles, clustering, avg_clustering, transitivity, k_clique_count, three_path_count,
         tailed_triangle_count, rectangle_count, diamond_count, directed_triangle_count, maximal_independent_set, maximal_matching, minimal_vertex_cover,
         minimal_dominating_set, minimal_edge_cover, graph_coloring, minimum_spanning_forest, degree_assortativity, attribute_assortativity,
-        average_degree_connectivity, node_boundary, edge_boundary,
+        average_degree_connectivity, node_boundary, edge_boundary, numeric_assortativity, sssp_path, random_multi_bfs, eigenvector_flash, katz_flash,
+        fluid_communities,
     )
 }
