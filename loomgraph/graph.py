@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Triplet = tuple[str, str, str]  # source label, edge label, destination label
 
@@ -18,7 +19,8 @@ class Graph:
     """Labelled multigraph. Vertex frames have `id` and properties, edge frames `src`, `dst` and properties.
 
     Every operation returns a new graph; frames are lazy. A vertex is identified by its label and id, an edge by its
-    triplet, ends and properties (identical parallel edges are alike).
+    `eid` if it has that column, else by its triplet, ends and properties. Parallel edges that are equal in all of these
+    are told apart only where it matters (trails, subgraphs), by `identified`.
     """
 
     vertices: dict[str, DataFrame]
@@ -71,9 +73,39 @@ class Graph:
         keep_e = {t: df if edges[t[1]] is None else df.select("src", "dst", *edges[t[1]]) for t, df in self.edges.items() if t[1] in edges and t[0] in keep_v and t[2] in keep_v}
         return Graph(keep_v, keep_e, self.directed)
 
-    def simple(self, weight: str | None = None, edge_labels: list[str] | None = None) -> DataFrame:
-        """Edges of a simple graph: `src, dst, w` (1.0 without a weight). Ids must be unique over the labels used."""
-        return union([self.edges[t].select("src", "dst", (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w")) for t in self.triplets(edge_labels)])
+    def simple(self, weight: str | None = None, edge_labels: list[str] | None = None, labelled: bool = False) -> DataFrame:
+        """Edges of a simple graph: `src, dst, w` (1.0 without a weight, or where it is null).
+
+        Ends are ids, which must then be unique over the labels used. labelled: over several labels they are structs
+        (label, id), as two labels may use one id. All algorithms take either.
+        """
+        used = self.triplets(edge_labels)
+        labels = {x for s, _, d in used for x in (s, d)}
+        end = (lambda x, c: F.col(c)) if len(labels) == 1 or not labelled else (lambda x, c: F.struct(F.lit(x).alias("label"), F.col(c).alias("id")))
+        w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
+        return union([self.edges[t].select(end(t[0], "src").alias("src"), end(t[2], "dst").alias("dst"), w.alias("w")) for t in used])
+
+    def run(self, algorithm: Callable[..., DataFrame], *args, weight: str | None = None, edge_labels: list[str] | None = None, **options) -> DataFrame:
+        """An algorithm over all labels: its result with `label` and `id` of each vertex. A source is a (label, id)."""
+        e = self.simple(weight, edge_labels, labelled=True)
+        struct = isinstance(e.schema["src"].dataType, StructType)
+        args = tuple(_vertex(e, a) if struct and isinstance(a, tuple) else a[1] if isinstance(a, tuple) else a for a in args)
+        out = algorithm(e, *args, **options)
+        labels = {x for s, _, d in self.triplets(edge_labels) for x in (s, d)}
+        named = [F.col("id.label").alias("label"), F.col("id.id").alias("id")] if struct else [F.lit(next(iter(labels))).alias("label"), F.col("id")]
+        return out.select(*named, *[c for c in out.columns if c != "id"])
+
+    def identified(self, edge_labels: Iterable[str] | None = None) -> Graph:
+        """The graph with an `eid` in the edges of some labels: equal edges are numbered, so that no two are alike."""
+        es = dict(self.edges)
+        for t in self.triplets(edge_labels):
+            df = es[t]
+            if "eid" not in df.columns:
+                n = df.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("_n"))  # equal edges meet as one row, and then spread again
+                n = n.select("*", F.explode(F.sequence(F.lit(0), F.expr("_n div 65536"))).alias("_block"))
+                block = F.sequence(F.col("_block") * 65536, F.least(F.col("_n"), F.col("_block") * 65536 + 65535))
+                es[t] = n.select(*df.columns, F.explode(block).alias("_k")).select(*df.columns, F.xxhash64(*[F.lit(x) for x in t], *df.columns, "_k").alias("eid"))
+        return Graph(self.vertices, es, self.directed)
 
     def flatten(self) -> Graph:
         """All labels merged into one, with the label kept as a property."""
@@ -123,6 +155,21 @@ class Graph:
             vs.setdefault(x, union(parts).distinct())
         return Graph(vs, dict(edges), directed)
 
+    def remove_vertices(self, label: str, ids: DataFrame) -> Graph:
+        """Without some vertices of a label (column `id`) and all edges that end at them."""
+        ids = ids.select("id").distinct()
+        es = {}
+        for t, df in self.edges.items():
+            for end, x in (("src", t[0]), ("dst", t[2])):
+                if x == label:
+                    df = df.join(ids.withColumnRenamed("id", end), end, "left_anti")
+            es[t] = df
+        return Graph({**self.vertices, label: self.vertices[label].join(ids, "id", "left_anti")}, es, self.directed)
+
+    def remove_edges(self, triplet: Triplet, pairs: DataFrame) -> Graph:
+        """Without the edges between some ends (columns `src, dst`)."""
+        return Graph(self.vertices, {**self.edges, triplet: self.edges[triplet].join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_anti")}, self.directed)
+
     def edge_subgraph(self, triplet: Triplet, edges: DataFrame) -> Graph:
         """The graph of some edges of a triplet and their ends, with the ends' properties."""
         s, _, d = triplet
@@ -181,10 +228,29 @@ class Graph:
         a, b = ("src", "dst") if out else ("dst", "src")
         return self.edges[triplet].where(F.col(a) == F.lit(vid)).select(F.col(b).alias("id")).distinct()
 
+    def has_node(self, label: str, vid: object) -> bool:
+        return not self.vertices[label].where(F.col("id") == F.lit(vid)).isEmpty()
+
+    def has_edge(self, triplet: Triplet, src: object, dst: object) -> bool:
+        return not self.edges[triplet].where((F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(dst))).isEmpty()
+
+    def node_data(self, label: str, vid: object) -> DataFrame:
+        """The properties of a vertex: one row, or none."""
+        return self.vertices[label].where(F.col("id") == F.lit(vid)).drop("id")
+
+    def edge_data(self, triplet: Triplet, src: object, dst: object) -> DataFrame:
+        """The properties of the edges between two vertices, a row each."""
+        return self.edges[triplet].where((F.col("src") == F.lit(src)) & (F.col("dst") == F.lit(dst))).drop("src", "dst")
+
     def self_loops(self) -> DataFrame:
         return union([df.where("src = dst").select(F.lit(t[1]).alias("label"), "src", "dst") for t, df in self.edges.items() if t[0] == t[2]])
 
 
+def _vertex(edges: DataFrame, at: tuple) -> Column:
+    kind = edges.schema["src"].dataType
+    return F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(at, kind.fields)])
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -242,6 +308,7 @@ class EdgeMap:
     properties: dict[str, str] = field(default_factory=dict)
     distinct: bool = False
     count: str | None = None
+    key: tuple[str, ...] = ()  # columns that tell the edges apart, for their eid
 
 
 def map_tables(tables: dict[str, DataFrame], vertices: dict[str, VertexMap], edges: dict[Triplet, EdgeMap]) -> Graph:
@@ -257,7 +324,7 @@ def map_tables(tables: dict[str, DataFrame], vertices: dict[str, VertexMap], edg
     es = {}
     for t, m in edges.items():
         df = tables[m.table].where(F.col(m.src).isNotNull() & F.col(m.dst).isNotNull())
-        df = df.select(key(df, m.src).alias("src"), key(df, m.dst).alias("dst"), *[F.col(c).alias(p) for p, c in m.properties.items()])
+        df = df.select(key(df, m.src).alias("src"), key(df, m.dst).alias("dst"), *[F.col(c).alias(p) for p, c in m.properties.items()], *([F.xxhash64(*[F.lit(x) for x in t], *m.key).alias("eid")] if m.key else []))
         if m.count:
             df = df.groupBy("src", "dst").agg(F.count(F.lit(1)).alias(m.count))
         elif m.distinct:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, union
 from ..operators import algorithms
 from .expressions import ExpressionParser, Lowering, Tokens, has_aggregate, walk
 from .rows import BOTH, IN, OUT, Rows, truth
@@ -61,6 +61,7 @@ class Cypher:
         self.e = ExpressionParser(self.t, self.maybe_path)
         self.fresh = 0
         self.used = self._uses(text)
+        self.edges_asked = "relationships(" in text
 
     def _uses(self, text: str) -> dict[str, list[str]]:
         """Properties by variable, wherever the text says variable.property."""
@@ -203,14 +204,17 @@ class Cypher:
     def step(self, rows: Rows, a: Node, r: Rel, b: Node, p: Path) -> Rows:
         new = b.var not in rows.df.columns
         if p.shortest:
-            upper = r.hops[1] if r.hops and r.hops[1] else 32
+            upper = r.hops[1] if r.hops else None  # without an upper bound: as long as it takes
             rows = rows.shortest(a.var, b.var, upper, r.labels, r.direction, b.labels, p.var, p.shortest == "all", self.wanted(b))
         elif r.hops:
             if r.hops[1] is None:
                 raise ValueError("a path without an upper bound needs shortestPath")
             single = p.var if len(p.rels) == 1 else None
             where = (lambda e: self.edge_filter(e, r)) if r.props else None
-            rows = rows.path_expand(a.var, b.var, r.hops[0], r.hops[1], r.labels, r.direction, b.labels, path=single or r.var, props=self.wanted(b), edge_where=where, edge_props=list(r.props))
+            name = single or r.var
+            have = {p for x in (r.labels or self.graph.edge_labels()) for p in self.graph.edge_properties(x)}
+            edges = sorted(have) if name and self.edges_asked else None
+            rows = rows.path_expand(a.var, b.var, r.hops[0], r.hops[1], r.labels, r.direction, b.labels, path=name, props=self.wanted(b), edge_where=where, edge_props=list(r.props), path_edges=edges)
         else:
             var = r.var or (self.anonymous() if r.props else None)
             props = list(dict.fromkeys([*self.used.get(r.var or "", []), *r.props]))
@@ -461,9 +465,10 @@ procedure("count_vertices", lambda g, label: g.v(label).agg(F.count(F.lit(1)).al
 procedure("k_hop_neighbors", lambda g, label, vid, k: Rows.scan(g, "a", [label]).where(F.col("a") == F.lit(vid)).path_expand("a", "b", 1, k + 1, direction=BOTH).df.select(F.col("b__label").alias("label"), F.col("b").alias("id")).distinct())
 procedure(
     "pagerank",
-    lambda g, src, dst, edge, damping=0.85, max_iter=20, epsilon=1e-6, limit=100: algorithms.pagerank(
-        g.edges[src, edge, dst].select("src", "dst", F.lit(1.0).alias("w")), g.vertices[src].select("id").unionByName(g.vertices[dst].select("id")), damping, max_iter, epsilon
-    ).orderBy(F.desc("rank"), "id").limit(limit),
+    lambda g, src, dst, edge, damping=0.85, max_iter=20, epsilon=1e-6, limit=100: Graph({x: g.vertices[x] for x in (src, dst)}, {(src, edge, dst): g.edges[src, edge, dst]})
+    .run(lambda e: algorithms.pagerank(e, _all_vertices(g, e, src, dst), damping, max_iter, epsilon))
+    .orderBy(F.desc("rank"), "label", "id")
+    .limit(limit),
 )
 procedure(
     "shortest_path_among_three",
@@ -471,9 +476,15 @@ procedure(
 )
 
 
+def _all_vertices(graph: Graph, edges: DataFrame, *labels: str) -> DataFrame:
+    """`id` of all vertices of some labels, in the form that the ends of `edges` have."""
+    parts = [graph.vertices[x].select("id" if len(set(labels)) == 1 else F.struct(F.lit(x).alias("label"), "id").alias("id")) for x in dict.fromkeys(labels)]
+    return union(parts)
+
+
 def _among_three(graph: Graph, label: str, ids: tuple) -> DataFrame:
     """Length of the shortest walk that visits three vertices, over the orders of the three."""
-    es = algorithms.both(graph.simple())
+    es = algorithms.both(graph.simple(edge_labels=sorted({e for s, e, d in graph.triplets(None, [label], [label])})))
     spark = es.sparkSession
     d = algorithms._multi_source(es, spark.createDataFrame([(i,) for i in ids], f"id {dict(graph.vertices[label].dtypes)['id']}"), False)
     pairs = d.where(F.col("id").isin(list(ids)) & (F.col("source") < F.col("id"))).select("dist")

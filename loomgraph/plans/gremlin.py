@@ -223,7 +223,7 @@ class Traversal:
             a = self.alias()
             out = rows.get_v(head, a, which, self.origin.get(head))
             found = {x for t in self.graph.edges for x in (t[0], t[2])}
-            return out._with(out.df, labels={**out.labels, a: frozenset(found)})
+            return out._with(out.df, labels={**out.labels, a: out.labels[a] & frozenset(found)})
         if name == "endV":
             return rows._with(rows.df, head=self.origin.get(head, head))
         if name in ("limit", "range"):
@@ -254,7 +254,7 @@ class Traversal:
             a = self.alias()
             return self.rename(parts[0], parts[0].head, a).union(*[self.rename(p, p.head, a) for p in parts[1:]])
         if name == "coin":
-            return rows.sample(lits[0], 0)
+            return rows.sample(*lits[:2])
         if name == "sample":
             weight = None
             for _, m in mods:
@@ -301,16 +301,23 @@ class Traversal:
             low, high = (int(x) for x in lits[0].split(".."))
             options = {a[0][1]: a[1] for _, a in mods}
             option = options.get("PATH_OPT", ("lit", "ARBITRARY"))[1].lower()
-            whole = options.get("RESULT_OPT", ("lit", "END_V"))[1] != "END_V"
+            result = options.get("RESULT_OPT", ("lit", "END_V"))[1]
+            whole = result != "END_V"
             until = options.get("UNTIL")
             path = self.alias() if whole else None
             cond = None
             if until is not None:
                 e = ExpressionParser(Tokens(until[1].removeprefix("expr(").removesuffix(")"))).expression() if until[0] == "lit" else until[1]
                 cond = lambda end: Lowering(rows._with(rows.df, labels={**rows.labels, end: rows.labels[head]}))(self.on_head(e, end))
-            out = rows.path_expand(head, to, low, high, lits[1:] or None, name, option=option, path=path, until=cond)
+            out = rows.path_expand(head, to, low, high, lits[1:] or None, name, option=option, path=path, until=cond, path_edges=() if result == "ALL_V_E" else None)
             if path:
                 self.origin[path] = to
+            if result == "ALL_V_E":  # vertices and edges in turn, an edge as its label and ends
+                v = F.transform(path, lambda x: F.struct(x["label"], x["id"], F.lit(None).cast("bigint").alias("src"), F.lit(None).cast("bigint").alias("dst")))
+                none = F.lit(None).cast("bigint").alias("id")
+                es = F.transform(f"{path}__edges", lambda x: F.struct(x["label"], none, x["src"].cast("bigint").alias("src"), x["dst"].cast("bigint").alias("dst")))
+                both = F.flatten(F.zip_with(v, es, lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b))))
+                out = out._with(out.df.withColumn(path, both).drop(f"{path}__edges"))
             return out
         return rows.expand(head, to, lits or None, name)
 
@@ -369,7 +376,7 @@ class Traversal:
         for _, m in mods or [("by", [])]:
             words = [a[1] for a in m if a[0] == "word"]
             if "shuffle" in words:
-                by.append((F.rand(0), True))
+                by.append((rows.draw(), True))
                 continue
             rows, c = self.by(rows, rows.head, m)
             by.append((c, not {"desc", "decr"} & set(words)))
@@ -531,14 +538,16 @@ def gremlin(graph: Graph, text: str) -> DataFrame:
 
 
 def subgraph(graph: Graph, text: str) -> Graph:
-    """The graph of the edges that a traversal ends with, and their ends."""
+    """The graph of the edges that a traversal ends with, each by its own identity, and their ends."""
     steps, names = _steps(text)
-    rows = Traversal(graph, names).run(None, [s for s in steps if s[0] != "subgraph"])
+    told = graph.identified()
+    rows = Traversal(told, names).run(None, [s for s in steps if s[0] != "subgraph"])
     e = rows.head
+    own = rows.df.select(F.col(e).alias("eid")).distinct()
     edges, ends = {}, {}
-    for t in graph.triplets():
-        own = rows.df.where((F.col(f"{e}__label") == t[1]) & (F.col(f"{e}__srcl") == t[0]) & (F.col(f"{e}__dstl") == t[2])).select(F.col(f"{e}__src").alias("src"), F.col(f"{e}__dst").alias("dst")).distinct()
-        edges[t] = graph.edges[t].join(own, ["src", "dst"], "left_semi")
-        ends.setdefault(t[0], []).append(own.select(F.col("src").alias("id")))
-        ends.setdefault(t[2], []).append(own.select(F.col("dst").alias("id")))
+    for t in sorted(rows.triplets_of(e)):
+        found = told.edges[t].join(own, "eid", "left_semi")
+        edges[t] = found.select(*graph.edges[t].columns)
+        ends.setdefault(t[0], []).append(found.select(F.col("src").alias("id")))
+        ends.setdefault(t[2], []).append(found.select(F.col("dst").alias("id")))
     return Graph({x: graph.vertices[x].join(union_frames(p).distinct(), "id", "left_semi") for x, p in ends.items()}, edges, graph.directed)

@@ -1,8 +1,8 @@
 """Rows of a graph query: a DataFrame whose columns are the aliases bound so far, with the graph operators on it.
 
 A vertex alias `a` has the columns `a` (id) and `a__label`, an edge alias `e` has `e` (its identity), `e__label`,
-`e__src`, `e__dst`, `e__srcl` and `e__dstl`, a path alias its vertices as structs (label, id); properties that a query
-uses are columns `alias__property`. A vertex frame is joined only where a property of it is used. Edges are scanned
+`e__src`, `e__dst`, `e__srcl` and `e__dstl`, a path alias its vertices as structs (label, id) and, where asked for, its
+edges in `p__edges`; properties that a query uses are columns `alias__property`. A vertex frame is joined only where a property of it is used. Edges are scanned
 with the columns that are used, so unused properties never leave the files.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, union
+from ..session import Grown, materialize, measured
 
 OUT, IN, BOTH = "out", "in", "both"
 
@@ -32,6 +33,7 @@ class Rows:
     edges: frozenset[str] = frozenset()
     paths: frozenset[str] = frozenset()
     head: str | None = None
+    kinds: dict[str, frozenset[tuple[str, str, str]]] = field(default_factory=dict)  # edge alias -> possible triplets
 
     def _with(self, df: DataFrame, **changes) -> Rows:
         return replace(self, df=df, **changes)
@@ -58,7 +60,7 @@ class Rows:
             cols = [F.lit(s).alias("_fl"), F.col("src").alias("_f"), F.lit(d).alias("_tl"), F.col("dst").alias("_t")]
             if alias:
                 own = [c for c in df.columns]
-                cols += [F.xxhash64(F.lit(s), F.lit(e), F.lit(d), *own).alias(alias), F.lit(e).alias(f"{alias}__label"), F.col("src").alias(f"{alias}__src"), F.col("dst").alias(f"{alias}__dst"), F.lit(s).alias(f"{alias}__srcl"), F.lit(d).alias(f"{alias}__dstl")]
+                cols += [(F.col("eid") if "eid" in own else F.xxhash64(F.lit(s), F.lit(e), F.lit(d), *own)).alias(alias), F.lit(e).alias(f"{alias}__label"), F.col("src").alias(f"{alias}__src"), F.col("dst").alias(f"{alias}__dst"), F.lit(s).alias(f"{alias}__srcl"), F.lit(d).alias(f"{alias}__dstl")]
                 cols += [F.col(p).alias(f"{alias}__{p}") for p in props if p in own]
             fwd = df.select(*cols)
             swap = {"_f": "_t", "_t": "_f", "_fl": "_tl", "_tl": "_fl"}
@@ -80,7 +82,7 @@ class Rows:
         """All edges of some labels."""
         empty = Rows(graph, next(iter(graph.vertices.values())))
         df = empty._edge_frame(graph.triplets(edge_labels), OUT, alias, props)
-        return Rows(graph, df.drop("_f", "_t", "_fl", "_tl"), {}, frozenset({alias}), head=alias)
+        return Rows(graph, df.drop("_f", "_t", "_fl", "_tl"), {}, frozenset({alias}), head=alias, kinds={alias: frozenset(graph.triplets(edge_labels))})
 
     # -- expansion ---------------------------------------------------------------------------------------------
     def _legal(self, frm: str, edge_labels: Iterable[str] | None, direction: str, to_labels: Iterable[str] | None) -> list[tuple[str, str, str]]:
@@ -113,7 +115,7 @@ class Rows:
         df = self.df.join(edges, on, "left" if optional else "inner")
         if not closing:
             df = df.withColumn(to, F.col("_t")).withColumn(f"{to}__label", F.col("_tl"))
-        out = self._with(df.drop("_f", "_t", "_fl", "_tl"), labels={**self.labels, to: reached}, edges=self.edges | ({edge} if edge else set()), head=to)
+        out = self._with(df.drop("_f", "_t", "_fl", "_tl"), labels={**self.labels, to: reached}, edges=self.edges | ({edge} if edge else set()), head=to, kinds=self.kinds | ({edge: frozenset(legal)} if edge else {}))
         return out.fetch(to, props, optional) if not closing else out
 
     def fetch(self, alias: str, props: Iterable[str], optional: bool = False) -> Rows:
@@ -148,25 +150,41 @@ class Rows:
             end = F.when(same, d).otherwise(s)
         else:
             end = s if which == "start" else d
+        mine = [t for t in self.graph.triplets() if t in self.triplets_of(edge)]
+        ends = frozenset(x for t in mine for x in ((t[0],) if which == "start" else (t[2],) if which == "end" else (t[0], t[2])))
         df = self.df.withColumn("_e", end).withColumn(to, F.col("_e.i")).withColumn(f"{to}__label", F.col("_e.l")).drop("_e")
-        return self._with(df, labels={**self.labels, to: frozenset(self.graph.labels())}, head=to).fetch(to, props)
+        return self._with(df, labels={**self.labels, to: ends}, head=to).fetch(to, props)
+
+    def triplets_of(self, edge: str) -> frozenset[tuple[str, str, str]]:
+        """The triplets an edge alias may be of."""
+        return self.kinds.get(edge, frozenset(self.graph.triplets()))
 
     # -- paths -------------------------------------------------------------------------------------------------
-    def path_expand(self, frm: str, to: str, lower: int, upper: int, edge_labels: Iterable[str] | None = None, direction: str = OUT, to_labels: Iterable[str] | None = None, option: str = "arbitrary", path: str | None = None, until: Callable[[str], Column] | None = None, props: Iterable[str] = (), edge_where: Callable[[str], Column] | None = None, edge_props: Iterable[str] = ()) -> Rows:
+    def path_expand(self, frm: str, to: str, lower: int, upper: int, edge_labels: Iterable[str] | None = None, direction: str = OUT, to_labels: Iterable[str] | None = None, option: str = "arbitrary", path: str | None = None, until: Callable[[str], Column] | None = None, props: Iterable[str] = (), edge_where: Callable[[str], Column] | None = None, edge_props: Iterable[str] = (), path_edges: Iterable[str] | None = None, optional: bool = False) -> Rows:
         """Paths of `lower` <= hops < `upper`; only their ends are carried unless the path or its option needs more.
 
-        option: arbitrary, simple (no vertex twice) or trail (no edge twice). until: paths end where it holds of the end.
+        option: arbitrary, simple (no vertex twice) or trail (no edge twice; parallel edges are different ones). until:
+        paths end where it holds of the end. path_edges: the path also gets its edges, as structs (label, src, dst) with
+        these properties. optional: rows without a path stay, with a null end.
         """
+        if optional:
+            base = self._with(self.df.select(frm, f"{frm}__label").distinct(), labels={frm: self.labels[frm]}, edges=frozenset(), paths=frozenset())
+            got = base.path_expand(frm, to, lower, upper, edge_labels, direction, to_labels, option, path, until, props, edge_where, edge_props, path_edges)
+            df = self.df.join(got.df, [frm, f"{frm}__label"], "left")
+            return self._with(df, labels={**self.labels, to: got.labels[to]}, paths=self.paths | got.paths, head=path or to)
         keep = path is not None or option == "simple"
         here = lambda a: F.struct(F.col(f"{a}__label").alias("label"), F.col(a).alias("id"))
         closing = to in self.df.columns
         end, labels = "_end", self.labels[frm]
+        graph = self.graph.identified(edge_labels) if option == "trail" else self.graph
+        step_props = list(dict.fromkeys([*edge_props, *(path_edges or ())]))
+        needs_edge = option == "trail" or edge_where or path_edges is not None
         df = self.df.withColumn(end, F.col(frm)).withColumn(f"{end}__label", F.col(f"{frm}__label")).withColumn("_hops", F.lit(0))
         if keep:
             df = df.withColumn("_path", F.array(here(frm)))
         if option == "trail":
             df = df.withColumn("_trail", F.array().cast("array<bigint>"))
-        level = self._with(df, labels={**self.labels, end: labels})
+        level = self._with(df, labels={**self.labels, end: labels}, graph=graph)
         found: list[Rows] = []
         for hop in range(upper):
             if hop >= lower:
@@ -177,7 +195,7 @@ class Rows:
             src = level if until is None or hop == 0 else level._with(level.df.where(~truth(until(end))))
             if not src._legal(end, edge_labels, direction, None):
                 break
-            nxt = src.expand(end, "_nxt", edge_labels, direction, edge="_edge" if option == "trail" or edge_where else None, edge_props=edge_props)
+            nxt = src.expand(end, "_nxt", edge_labels, direction, edge="_edge" if needs_edge else None, edge_props=step_props)
             d = nxt.df
             if edge_where:
                 d = d.where(truth(edge_where("_edge")))
@@ -187,6 +205,9 @@ class Rows:
                 d = d.where(~F.array_contains("_trail", F.col("_edge"))).withColumn("_trail", F.concat("_trail", F.array("_edge")))
             if keep:
                 d = d.withColumn("_path", F.concat("_path", F.array(here("_nxt"))))
+            if path_edges is not None:
+                one = F.array(F.struct(*[F.col(f"_edge__{c}").alias(c) for c in ("label", "src", "dst", *path_edges)]))
+                d = d.withColumn("_edges", F.concat("_edges", one) if hop else one)
             d = d.withColumn(end, F.col("_nxt")).withColumn(f"{end}__label", F.col("_nxt__label")).withColumn("_hops", F.lit(hop + 1))
             d = d.drop("_nxt", "_nxt__label", *[c for c in d.columns if c == "_edge" or c.startswith("_edge__")])
             level = nxt._with(d, labels={**self.labels, end: nxt.labels["_nxt"]}, edges=self.edges)
@@ -201,38 +222,67 @@ class Rows:
             df = df.withColumn(to, F.col(end)).withColumn(f"{to}__label", F.col(f"{end}__label"))
         if path:
             df = df.withColumn(path, F.col("_path"))
-        df = df.drop(end, f"{end}__label", "_hops", "_path", "_trail")
+            if path_edges is not None and "_edges" in df.columns:
+                df = df.withColumn(f"{path}__edges", F.when(F.col("_hops") == 0, F.slice("_edges", 1, 0)).otherwise(F.col("_edges")))
+        df = df.drop(end, f"{end}__label", "_hops", "_path", "_trail", "_edges")
         out = self._with(df, labels={**self.labels, to: reached}, paths=self.paths | ({path} if path else set()), head=path or to)
         return out.fetch(to, props) if not closing else out
 
-    def shortest(self, frm: str, to: str, upper: int, edge_labels: Iterable[str] | None = None, direction: str = OUT, to_labels: Iterable[str] | None = None, path: str = "_p", every: bool = False, props: Iterable[str] = ()) -> Rows:
-        """Shortest paths of fewer than `upper` hops between each pair: any one (the least by its vertices), or all.
+    def concat_paths(self, first: str, second: str, name: str) -> Rows:
+        """One path of two that meet: rows where the last vertex of the first isn't the first of the second go."""
+        df = self.df.where(F.get(first, F.size(first) - 1) == F.get(second, F.lit(0)))
+        df = df.withColumn(name, F.concat(first, F.slice(F.col(second), F.lit(2), F.size(second))))
+        return self._with(df, paths=self.paths | {name}, head=name)
+
+    def shortest(self, frm: str, to: str, upper: int | None = None, edge_labels: Iterable[str] | None = None, direction: str = OUT, to_labels: Iterable[str] | None = None, path: str = "_p", every: bool = False, props: Iterable[str] = (), limit: int | None = None) -> Rows:
+        """Shortest paths of fewer than `upper` hops (None: any length) between each pair: any one (the least by its
+        vertices), or all.
 
-        Breadth first from the distinct starts; a vertex that a start has reached before is not entered again.
+        Breadth first from the distinct starts, a level at a time: a level is written before the next one begins, a
+        vertex that a start has reached before is not entered again, and it ends with the first empty level. If `to` is
+        bound, a start goes on only while one of its targets is missing. `limit`: the first so many paths by length and
+        vertices; levels beyond those are not searched.
         """
         end = "_end"
         here = lambda a: F.struct(F.col(f"{a}__label").alias("label"), F.col(a).alias("id"))
+        closing = to in self.df.columns
         starts = self.df.select(F.col(frm), F.col(f"{frm}__label")).distinct()
         df = starts.withColumn(end, F.col(frm)).withColumn(f"{end}__label", F.col(f"{frm}__label")).withColumn("_path", F.array(here(frm)))
-        level = Rows(self.graph, df, {frm: self.labels[frm], end: self.labels[frm]})
         key = [frm, f"{frm}__label", end, f"{end}__label"]
-        seen, found = df.select(*key), []
-        for _ in range(1, upper):
-            if not level._legal(end, edge_labels, direction, None):
-                break
+        level = Rows(self.graph, materialize(df), {frm: self.labels[frm], end: self.labels[frm]})
+        seen = Grown(materialize(level.df.select(*key)))
+        found: list[DataFrame] = [level.df.where(F.lit(False))]
+        reached: frozenset[str] = frozenset()
+        wanted = materialize(self.df.select(F.col(frm), F.col(f"{frm}__label"), F.col(to).alias(end), F.col(f"{to}__label").alias(f"{end}__label")).distinct()) if closing else None
+        hop, have = 1, 0
+        while (upper is None or hop < upper) and level._legal(end, edge_labels, direction, None):
             nxt = level.expand(end, "_nxt", edge_labels, direction)
             d = nxt.df.withColumn("_path", F.concat("_path", F.array(here("_nxt")))).withColumn(end, F.col("_nxt")).withColumn(f"{end}__label", F.col("_nxt__label")).drop("_nxt", "_nxt__label")
-            d = d.join(seen, key, "left_anti")
+            d = d.join(seen.rows(), key, "left_anti")
             d = d.distinct() if every else d.groupBy(*key).agg(F.min("_path").alias("_path"))
-            seen = seen.unionByName(d.select(*key).distinct())
+            fits = F.lit(True) if to_labels is None else F.col(f"{end}__label").isin(list(to_labels))
+            d, size = measured(d, {"n": F.count(F.lit(1)), "fit": F.count_if(fits)})
+            if not size["n"]:
+                break
+            reached |= nxt.labels["_nxt"]
+            found.append(d)
+            have += size["fit"]
+            if limit is not None and have >= limit:
+                break
+            seen.add(materialize(d.select(*key).distinct()) if every else d.select(*key))
+            if wanted is not None:
+                wanted, size = measured(wanted.join(d, key, "left_anti"), {"n": F.count(F.lit(1))}, replaces=wanted)
+                if not size["n"]:
+                    break
+                d = d.join(wanted.select(frm, f"{frm}__label").distinct(), [frm, f"{frm}__label"], "left_semi")
             level = Rows(self.graph, d, {frm: self.labels[frm], end: nxt.labels["_nxt"]})
-            found.append(level)
-        paths = union([r.df for r in found])
-        reached = frozenset().union(*[r.labels[end] for r in found])
+            hop += 1
+        paths = union(found)
         if to_labels is not None:
             reached &= frozenset(to_labels)
             paths = paths.where(F.col(f"{end}__label").isin(list(to_labels)))
-        closing = to in self.df.columns
+        if limit is not None:
+            paths = paths.orderBy(F.size("_path"), "_path").limit(limit)
         paths = paths.select(F.col(frm).alias("_sf"), F.col(f"{frm}__label").alias("_sl"), F.col(end).alias("_te"), F.col(f"{end}__label").alias("_tl"), F.col("_path").alias(path))
         on = (F.col(frm) == F.col("_sf")) & (F.col(f"{frm}__label") == F.col("_sl"))
         if closing:
@@ -280,14 +330,22 @@ class Rows:
         labels = {a: self.labels.get(a, frozenset()).union(*[o.labels.get(a, frozenset()) for o in others]) for a in self.labels}
         return self._with(union([self.df, *[o.df for o in others]]), labels=labels)
 
+    def draw(self, seed: int = 0) -> Column:
+        """A number in (0, 1) per row that depends on the row and the seed, not on the partitioning; equal rows draw alike."""
+        return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in self.df.columns]), 11).cast("double") + 0.5) / float(1 << 53)
+
     def sample(self, fraction: float, seed: int = 0) -> Rows:
-        return self._with(self.df.sample(fraction=fraction, seed=seed))
+        """Each row with this chance, between 0 and 1."""
+        if not 0 <= fraction <= 1:
+            raise ValueError(f"a fraction is between 0 and 1, not {fraction}")
+        return self._with(self.df.where(self.draw(seed) < fraction))
 
     def sample_n(self, n: int, seed: int = 0, weight: Column | None = None) -> Rows:
-        """n rows at random, with chances in proportion to the weight if there is one (the sampling is the feature)."""
-        u = F.rand(seed)
-        key = u if weight is None else -F.log(u) / weight
-        return self._with(self.df.withColumn("_k", key).orderBy("_k").limit(n).drop("_k"))
+        """n rows at random, with chances in proportion to the weight if there is one (the sampling is the feature); null
+        weights and those of 0 or less come last."""
+        u = self.draw(seed)
+        key = u if weight is None else F.when(weight > 0, -F.log(u) / weight)
+        return self._with(self.df.withColumn("_k", key).orderBy(F.col("_k").asc_nulls_last()).limit(n).drop("_k"))
 
     def apply(self, keys: list[str], sub: Callable[[Rows], Rows], how: str = "left", aggregate: dict[str, Column] | None = None) -> Rows:
         """Correlated sub-query, decorrelated: it runs once over the distinct keys and is joined back.
@@ -303,6 +361,41 @@ class Rows:
             got = got.select(*cols).distinct()
         return self._with(self.df.join(got, cols, how))
 
+    def segment_apply(self, keys: list[str], aggregates: dict[str, Column], sub: Callable[[Rows], Rows] | None = None) -> Rows:
+        """A sub-plan per group of the keys: it runs over all rows at once, keeps the keys, and is folded per group."""
+        cols = [c for k in keys for c in (k, f"{k}__label") if c in self.df.columns]
+        got = self if sub is None else sub(self)
+        return self._with(got.df.groupBy(*cols).agg(*[c.alias(n) for n, c in aggregates.items()]), labels={k: v for k, v in self.labels.items() if k in keys}, edges=frozenset(), paths=frozenset())
+
+    def merge_tagged(self, **others: Rows) -> Rows:
+        """The rows of several inputs in one, with the input's name in `tag` (`main` for these); columns one lacks are null."""
+        return self._with(union([self.df.withColumn("tag", F.lit("main")), *[o.df.withColumn("tag", F.lit(t)) for t, o in others.items()]]))
+
+    def switch(self, **conditions: Column) -> dict[str, Rows]:
+        """Splits the rows: each goes to the first condition that holds, the others to `default`."""
+        out, free = {}, F.lit(True)
+        for name, c in conditions.items():
+            out[name] = self.where(free & truth(c))
+            free = free & ~truth(c)
+        return {**out, "default": self.where(free)}
+
+    def zip(self, other: Rows, by: list[Column], other_by: list[Column]) -> Rows:
+        """Row by row with another input, both in the order given; what is longer is cut. Positions are counted per range
+        of the order and added up, so that no task numbers all rows."""
+        left, right = numbered(self.df, by, "_at"), numbered(other.df, other_by, "_at")
+        clash = [c for c in right.columns if c in left.columns and c != "_at"]
+        return self._with(left.join(right.drop(*clash), "_at").drop("_at"))
+
+
+def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """`df` with its position from 1 in an order, ties in any: range partitions, numbered each and shifted by those before."""
+    names = [f"_by{i}" for i in range(len(by))]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select("*", *[c.alias(n) for c, n in zip(by, names)]).repartitionByRange(parts, *names).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*names)).cast("long")))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))  # a row per partition
+    return ranged.join(sizes.select("_part", "before"), "_part").withColumn(name, F.col(name) + F.col("before")).drop("_part", "before", *names)
+
 
 def row_number(partition: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

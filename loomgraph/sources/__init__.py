@@ -28,13 +28,16 @@ def load(spark: SparkSession, source: object, delimiter: str = ",", header_row:
 
 
 def load_from(edges: dict[Triplet, DataFrame], vertices: dict[str, DataFrame] | None = None, directed: bool = True, generate_eid: bool = False, src: str | None = None, dst: str | None = None, vid: str | None = None) -> Graph:
-    """A graph from tables: the first column of a vertex table is its id, the first two of an edge table its ends, unless named."""
+    """A graph from tables: the first column of a vertex table is its id, the first two of an edge table its ends, unless named.
+
+    generate_eid: every edge gets an `eid` of its own, equal parallel edges too."""
     vs = {x: df.withColumnRenamed(vid or df.columns[0], "id") for x, df in (vertices or {}).items()}
     es = {}
     for t, df in edges.items():
         out = df.withColumnsRenamed({src or df.columns[0]: "src", dst or df.columns[1]: "dst"})
-        es[t] = out.withColumn("eid", F.xxhash64(F.lit(t[1]), *out.columns)) if generate_eid else out
-    return Graph.from_edges(es, vs, directed)
+        es[t] = out
+    graph = Graph.from_edges(es, vs, directed)
+    return graph.identified() if generate_eid else graph
 
 
 def read_edgelist(spark: SparkSession, path: str, delimiter: str = " ", comment: str = "#") -> DataFrame:

@@ -15,26 +15,35 @@ def latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def merge(base: DataFrame, changes: DataFrame, keys: list[str], order: list[str], op: str = "op") -> DataFrame:
-    """`base` after INSERT, UPDATE, DELETE and CLEAR_PROPERTY changes; the last change of a key counts.
+    """`base` after INSERT, UPDATE, DELETE and CLEAR_PROPERTY changes, applied to each key in their order.
 
-    UPDATE leaves properties that are null in the change as they were, INSERT replaces the row, CLEAR_PROPERTY makes
-    the properties null that are set in the change. Deleting or clearing what isn't there does nothing.
+    UPDATE leaves properties that are null in the change as they were (and inserts a row that isn't there), INSERT
+    replaces the row, CLEAR_PROPERTY makes the properties null that are set in the change. Deleting or clearing what isn't
+    there does nothing. The result doesn't depend on how changes are cut into batches. Two changes of one key with equal
+    `order` have no order; one of them comes first.
+
+    What is left of a key is decided by aggregates that combine before they shuffle, so a key with a third of all changes
+    is no burden: where its last INSERT or DELETE is, and for each property the last change after it that touches it.
     """
     values = [c for c in base.columns if c not in keys]
-    last = latest(changes, keys, order).select(*keys, F.col(op).alias("_op"), *[F.col(c).alias(f"_n_{c}") for c in values])
+    at = F.struct(*order)
+    reset = F.col(op).isin("INSERT", "DELETE")
+    first = changes.groupBy(*keys).agg(F.max(F.when(reset, F.struct(at.alias("at"), F.col(op).alias("op")))).alias("_reset"))
+    named = changes.select(*keys, F.col(op).alias("_op"), at.alias("_at"), *[F.col(c).alias(f"_n_{c}") for c in values])
+    live = named.join(first, keys).where(F.col("_reset").isNull() | (F.col("_at") >= F.col("_reset.at")))
+    touched = [F.max(F.when((F.col("_op") == "INSERT") | (F.col("_op").isin("UPDATE", "CLEAR_PROPERTY") & F.col(f"_n_{c}").isNotNull()), F.struct("_at", "_op", F.col(f"_n_{c}").alias("v")))).alias(f"_t_{c}") for c in values]
+    # clears of a row that isn't there do nothing: an UPDATE must have made it again before
+    made = F.min(F.when(F.col("_op") == "UPDATE", F.col("_at"))).alias("_made")
+    last = live.groupBy(*keys).agg(F.first("_reset").alias("_reset"), made, *touched)
     both = base.withColumn("_was", F.lit(True)).join(last, keys, "full")
-    keep = (F.col("_op").isNull() | (F.col("_op") != "DELETE")) & (F.col("_was").isNotNull() | ~F.coalesce(F.col("_op").isin("CLEAR_PROPERTY", "DELETE"), F.lit(False)))
+    kept_base = F.col("_was").isNotNull() & F.col("_reset").isNull()
+    exists = kept_base | (F.col("_reset.op") == "INSERT") | F.col("_made").isNotNull()
     out = []
     for c in values:
-        new = F.col(f"_n_{c}")
-        out.append(
-            F.when(F.col("_op") == "INSERT", new)
-            .when(F.col("_op") == "UPDATE", F.coalesce(new, F.col(c)))
-            .when((F.col("_op") == "CLEAR_PROPERTY") & new.isNotNull(), F.lit(None))
-            .otherwise(F.col(c))
-            .alias(c)
-        )
-    return both.where(keep).select(*keys, *out)
+        t = F.col(f"_t_{c}")
+        new = F.when(t["_op"] != "CLEAR_PROPERTY", t["v"])
+        out.append(F.when(t.isNotNull(), new).when(kept_base, F.col(c)).alias(c))
+    return both.where(F.coalesce(exists, F.lit(False))).select(*keys, *out)
 
 
 class VersionedTable:

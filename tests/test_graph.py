@@ -133,3 +133,96 @@ def test_change_feed(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"), "id long, x string, y int")
     upsert_stream(spark.readStream.schema(changes.schema).parquet(str(feed)), table, ["id"], ["seq"], str(tmp_path / "c")).awaitTermination()
     assert table.versions() == [0] and table.read().count() == 5
+
+
+def test_changes_of_one_key_apply_in_order_however_they_are_batched(spark):
+    base = spark.createDataFrame([(1, "a", 1)], "id long, x string, y int")
+    ch = [(1, "q", None, "UPDATE"), (1, None, 7, "UPDATE"), (2, "b", 2, "INSERT"), (2, None, 3, "UPDATE"), (3, "c", 3, "INSERT"), (3, None, None, "DELETE"), (3, None, 5, "UPDATE"), (1, "any", None, "CLEAR_PROPERTY"), (4, "z", None, "CLEAR_PROPERTY")]
+    schema = "id long, x string, y int, op string, seq int"
+    changes = [(*c, k) for k, c in enumerate(ch)]
+    whole = rows(merge(base, spark.createDataFrame(changes, schema), ["id"], ["seq"]))
+    assert whole == sorted([(1, None, 7), (2, "b", 3), (3, None, 5)], key=repr)
+    for cut in (2, 4, 6):
+        first = merge(base, spark.createDataFrame(changes[:cut], schema), ["id"], ["seq"])
+        assert rows(merge(first, spark.createDataFrame(changes[cut:], schema), ["id"], ["seq"])) == whole
+
+
+def test_parallel_edges(spark):
+    g = Graph.from_edges({("V", "e", "V"): spark.createDataFrame([(1, 2), (1, 2), (2, 1)], "src long, dst long")})
+    assert Rows.scan(g, "a").path_expand("a", "b", 3, 4, ["e"], option="trail").df.count() == 2
+    e = spark.createDataFrame([(1, 2, 0.1), (1, 2, 5.0), (1, 2, 5.0)], "src long, dst long, weight double")
+    sub = subgraph(Graph.from_edges({("V", "e", "V"): e}), "g.E().has('weight', gt(1.0)).subgraph('x')")
+    assert rows(sub.edges["V", "e", "V"]) == [(1, 2, 5.0), (1, 2, 5.0)] and sub.vertices["V"].count() == 2
+
+
+def test_paths_with_edges_optional_ends_and_concatenation(modern):
+    r = Rows.scan(modern, "a", ["person"], ["name"]).path_expand("a", "b", 1, 2, ["created"], path="p", path_edges=["weight"], optional=True)
+    got = {x.n: x.es for x in r.df.where("a <> 4").select(F.col("a__name").alias("n"), F.col("p__edges").alias("es")).collect()}
+    assert got["vadas"] is None and [(e.label, e.src, e.dst, e.weight) for e in got["peter"]] == [("created", 6, 3, 0.2)]
+    assert rows(cypher(modern, "MATCH p = (a:person)-[:knows*1..2]->(b) RETURN b.name AS n, relationships(p) AS r"))[0][1][0].weight == 1.0
+    assert [len(p[0]) for p in rows(gremlin(modern, "g.V(1).out('1..3', 'knows', 'created').with('RESULT_OPT', 'ALL_V_E')"))] .count(3) == 3
+    two = Rows.scan(modern, "a", ["person"]).path_expand("a", "b", 1, 2, ["knows"], path="p").path_expand("b", "c", 1, 2, ["created"], path="q").concat_paths("p", "q", "r")
+    assert sorted([v.id for v in x.r] for x in two.df.select("r").collect()) == [[1, 4, 3], [1, 4, 5]]
+
+
+def test_shortest_paths_of_any_length(spark):
+    g = Graph.from_edges({("V", "e", "V"): spark.createDataFrame([(i, i + 1) for i in range(1, 41)] + [(1, 50), (50, 3)], "src long, dst long")})
+    one = Rows.scan(g, "a").where(F.col("a") == 1)
+    d = {r.b: r.k for r in one.shortest("a", "b", None, ["e"], path="p").df.select("b", (F.size("p") - 1).alias("k")).collect()}
+    assert d[41] == 40 and d[3] == 2 and len(d) == 41
+    ends = rows(one.shortest("a", "b", None, ["e"], path="p", every=True, limit=4).df.select("b", F.size("p").alias("k")))
+    assert ends == [(2, 2), (3, 3), (3, 3), (50, 2)]
+    assert rows(cypher(g, "MATCH p = shortestPath((a:V {id: 2})-[*]->(b:V {id: 30})) RETURN length(p) AS k")) == [(28,)]
+
+
+def test_labels_with_the_same_ids(spark):
+    e = spark.createDataFrame([(1, 1), (2, 2)], "src long, dst long")
+    g = Graph.from_edges({("A", "to", "B"): e, ("B", "to", "C"): e.where("src = 1")})
+    assert {(r.label, r.id): (r.component.label, r.component.id) for r in g.run(al.wcc).collect()} == {("A", 1): ("A", 1), ("B", 1): ("A", 1), ("C", 1): ("A", 1), ("A", 2): ("A", 2), ("B", 2): ("A", 2)}
+    assert {(r.label, r.id, r.distance) for r in g.run(al.sssp, ("A", 1)).collect()} == {("A", 1, 0.0), ("B", 1, 1.0), ("C", 1, 2.0), ("A", 2, None), ("B", 2, None)}
+    assert g.run(al.pagerank).count() == 5 and {r.depth for r in g.run(al.bfs, ("A", 1)).collect()} == {0, 1, 2}
+
+
+def test_negatives_have_their_count(spark):
+    e = spark.createDataFrame([(s, d) for s in range(20) for d in range(20) if (s * d) % 3 and s != d], "src long, dst long")
+    ids = spark.range(20).select("id")
+    edge = {(r.src, r.dst) for r in e.collect()}
+    got = sampling.negatives(e, ids, 8).collect()
+    assert len({(r.src, r.dst) for r in got}) == len(got) and not edge & {(r.src, r.dst) for r in got} and all(r.src != r.dst for r in got)
+    for s in {a for a, _ in edge}:
+        assert sum(r.src == s for r in got) == min(8, 19 - sum(a == s for a, _ in edge)), s
+
+
+def test_directed_counts(spark):
+    e = edges(spark, [(1, 2), (2, 1), (2, 3), (3, 1), (1, 3), (3, 4)])
+    n = lambda kind: al.directed_triangle_count(e, kind).first().n
+    have = {(1, 2), (2, 1), (2, 3), (3, 1), (1, 3), (3, 4)}
+    ids = [1, 2, 3, 4]
+    two = lambda x, y: (x, y) in have and (y, x) in have
+    triples = [(x, y, z) for x in ids for y in ids for z in ids if len({x, y, z}) == 3]
+    assert n("cyclic") == sum((x, y) in have and (y, z) in have and (z, x) in have for x, y, z in triples) / 3
+    assert n("acyclic") == sum((x, y) in have and (y, z) in have and (x, z) in have for x, y, z in triples)
+    assert n("cycle_plus") == sum(two(x, y) and (y, z) in have and (z, x) in have for x, y, z in triples)
+    assert n("in_plus") == sum(two(x, y) and (x, z) in have and (y, z) in have for x, y, z in triples if x < y)
+    assert n("out_plus") == sum(two(x, y) and (z, x) in have and (z, y) in have for x, y, z in triples if x < y)
+    c = {r.id: r.coefficient for r in al.clustering(e, directed=True).collect()}
+    m = lambda x, y: ((x, y) in have) + ((y, x) in have)
+    for v in ids:
+        t = sum(m(v, y) * m(v, z) * m(y, z) for y in ids for z in ids if len({v, y, z}) == 3 and y < z)
+        dt, dr = sum(m(v, y) for y in ids if y != v), sum(two(v, y) for y in ids if y != v)
+        assert abs(c[v] - (t / (dt * (dt - 1) - 2 * dr) if t else 0)) < 1e-9
+
+
+def test_further_algorithms(spark):
+    e = edges(spark, [(1, 2), (2, 3), (1, 3), (3, 4)])
+    assert rows(al.sssp_path(e, 1)) == [(1, 2, 1.0), (1, 3, 1.0), (3, 4, 2.0)]
+    assert rows(al.random_multi_bfs(e, sources=spark.createDataFrame([(1,), (2,)], "id long"))) == [(1, 0), (2, 1), (3, 1), (4, 2)]
+    k = {r.id: r.centrality for r in al.katz_flash(e).collect()}
+    assert k[4] == 0.0 and abs(k[3] - 0.1) < 1e-9 and abs(k[2] - 0.11) < 1e-9
+    ring = edges(spark, [(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4)])
+    assert {r.label for r in al.fluid_communities(ring, 2).collect()} <= {0, 1}
+    assert abs(al.eigenvector_flash(ring).agg(F.sum("centrality")).first()[0]) > 0
+    x, y = Rows.scan(Graph({"V": al.ends(ring)}), "a"), Rows.scan(Graph({"V": al.ends(e)}), "b")
+    assert rows(x.zip(y, [F.col("a")], [F.col("b")]).df.select("a", "b")) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert {k: r.df.count() for k, r in x.switch(low=F.col("a") < 3).items()} == {"low": 2, "default": 4}
+    assert x.merge_tagged(other=x).df.groupBy("tag").count().count() == 2
