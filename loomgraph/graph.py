@@ -308,7 +308,7 @@ class EdgeMap:
     properties: dict[str, str] = field(default_factory=dict)
     distinct: bool = False
     count: str | None = None
-    key: tuple[str, ...] = ()  # columns that tell the edges apart, for their eid
+    key: tuple[str, ...] = ()  # columns that tell all edges apart, for their eid; none: equal edges are numbered where it matters
 
 
 def map_tables(tables: dict[str, DataFrame], vertices: dict[str, VertexMap], edges: dict[Triplet, EdgeMap]) -> Graph:

@@ -404,6 +404,36 @@ class Cypher:
         out = Rows(self.graph, df)
         return out if rows is None else rows.join(out)
 
+    def create(self, rows: Rows | None) -> Rows:
+        """Adds vertices and edges for every row: new ones have one label and an `id` among their properties."""
+        if rows is None:
+            rows = Rows(self.graph, next(iter(self.graph.vertices.values())).sparkSession.range(1).select(F.lit(1).alias("_root")))
+        while True:
+            p = self.path()
+            for n in p.nodes:
+                if n.var in rows.df.columns:
+                    continue
+                if not n.labels or len(n.labels) != 1 or "id" not in n.props:
+                    raise ValueError(f"a new vertex needs one label and an id: {n.var}")
+                rows = self.fetched(rows, *n.props.values())
+                low, label = Lowering(rows, self.params), n.labels[0]
+                old = self.graph.vertices.get(label)
+                key = low(n.props["id"]) if old is None else low(n.props["id"]).cast(old.schema["id"].dataType)
+                self.graph = self.graph.add_vertices(label, rows.df.select(key.alias("id"), *[low(v).alias(k) for k, v in n.props.items() if k != "id"]))
+                rows = Rows(self.graph, rows.df.withColumn(n.var, key).withColumn(f"{n.var}__label", F.lit(label)), {**rows.labels, n.var: frozenset({label})}, rows.edges, rows.paths)
+            for a, r, b in zip(p.nodes, p.rels, p.nodes[1:]):
+                if not r.labels or len(r.labels) != 1 or r.direction == BOTH:
+                    raise ValueError("a new edge needs one type and a direction")
+                rows = self.fetched(rows, *r.props.values())
+                low = Lowering(rows, self.params)
+                s, d = (a.var, b.var) if r.direction == OUT else (b.var, a.var)
+                made = rows.df.select(F.col(s).alias("src"), F.col(d).alias("dst"), F.col(f"{s}__label").alias("_s"), F.col(f"{d}__label").alias("_d"), *[low(v).alias(k) for k, v in r.props.items()])
+                for x in sorted(rows.labels[s]):
+                    for y in sorted(rows.labels[d]):
+                        self.graph = self.graph.add_edges((x, r.labels[0], y), made.where((F.col("_s") == x) & (F.col("_d") == y)).drop("_s", "_d"))
+            if not self.t.take(","):
+                return rows
+
     def subquery(self, rows: Rows | None) -> Rows:
         imported = rows
         if rows is not None and self.t.word("WITH"):
@@ -438,6 +468,8 @@ class Cypher:
                 rows = rows.unfold(Lowering(rows, self.params)(e), self.t.name())
             elif self.t.word("CALL"):
                 rows = self.call(rows)
+            elif self.t.word("CREATE"):
+                rows = self.create(rows)
             elif self.t.word("RETURN"):
                 rows = self.project(rows, True)
                 if self.t.word("UNION"):
@@ -454,6 +486,13 @@ def cypher(graph: Graph, text: str, **params) -> DataFrame:
     return Cypher(graph, text, params).clauses(None).df
 
 
+def execute(graph: Graph, text: str, **params) -> Graph:
+    """The graph after a query with CREATE clauses."""
+    q = Cypher(graph, text, params)
+    q.clauses(None)
+    return q.graph
+
+
 def create(graph: Graph, label: str, df: DataFrame) -> Graph:
     """CREATE of vertices: a new graph that has them too."""
     return graph.add_vertices(label, df)

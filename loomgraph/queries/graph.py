@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph, film_graph, select, trade_graph
 from ..operators import algorithms as al
-from ..plans.cypher import cypher
+from ..plans.cypher import cypher, execute
+from ..plans.gremlin import subgraph
 from ..plans.rows import Rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,11 +90,11 @@ ud AS MATERIALIZED (SELECT src AS id, count(*) AS d FROM u GROUP BY 1)"""
 
 
 def _user_graph(spark: SparkSession, d: str) -> Graph:
-    """All transitions between users. The SQL from `_P` still states the heavy ones only, see the README."""
+    """All transitions between users."""
     return Graph.from_edges({("USER", "NEXT", "USER"): _users(spark, d)})
 
 
-_P = f"WITH {_E}, h AS MATERIALIZED (SELECT src, dst FROM e WHERE w >= 3)"
+_P = f"WITH {_E}, h AS MATERIALIZED (SELECT src, dst FROM e)"
 _g("g_path_1_3_arbitrary", f"{_P} SELECT src AS a, dst AS b FROM h UNION ALL SELECT x.src, y.dst FROM h x JOIN h y ON x.dst = y.src", lambda g: Rows.scan(g, "a", ["USER"]).path_expand("a", "b", 1, 3, ["NEXT"]).df.select("a", "b"), _user_graph)
 _g(
     "g_path_simple",
@@ -125,8 +126,44 @@ _g(
 )
 _g("g_triangle", f"{_P} SELECT count(*) AS n FROM h x JOIN h y ON x.dst = y.src JOIN h z ON y.dst = z.src AND z.dst = x.src", lambda g: Rows.scan(g, "a", ["USER"]).expand("a", "b", ["NEXT"]).expand("b", "c", ["NEXT"]).expand("c", "a", ["NEXT"]).df.agg(F.count(F.lit(1)).alias("n")), _user_graph)
 
-_L = "SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_custkey <= 40"
-_R = "SELECT s_suppkey AS k, s_nationkey AS m FROM supplier WHERE s_suppkey >= 20 AND s_suppkey <= 70"
+_g(
+    "g_trail_parallel",
+    "WITH l AS MATERIALIZED (SELECT l_orderkey, l_partkey, row_number() OVER () AS k FROM lineitem) SELECT x.l_orderkey AS o, count(*) AS n FROM l x JOIN l y USING (l_partkey) WHERE x.k <> y.k GROUP BY 1",
+    lambda g: Rows.scan(g, "o", ["ORDERS"]).path_expand("o", "x", 2, 3, ["CONTAINS"], "both", option="trail").df.groupBy("o").agg(F.count(F.lit(1)).alias("n")),
+)
+_g(
+    "g_path_optional",
+    "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey",
+    lambda g: Rows.scan(g, "c", ["CUSTOMER"]).path_expand("c", "o", 1, 2, ["PLACED"], optional=True).df.select("c", "o"),
+)
+_g(
+    "g_subgraph",
+    "SELECT l_orderkey AS src, l_partkey AS dst, l_quantity AS quantity, l_extendedprice AS price, l_shipdate AS shipdate FROM lineitem WHERE l_quantity > 48",
+    lambda g: subgraph(g, "g.E().hasLabel('CONTAINS').has('quantity', gt(48)).subgraph('x')").edges["ORDERS", "CONTAINS", "PART"].drop("eid"),
+)
+_g(
+    "g_segment_apply",
+    "SELECT c_nationkey AS n, count(o_orderkey) AS orders FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+    lambda g: Rows.scan(g, "c", ["CUSTOMER"], ["c_nationkey"]).segment_apply(["c__c_nationkey"], {"orders": F.count("o")}, lambda r: r.expand("c", "o", ["PLACED"])).df.select(F.col("c__c_nationkey").alias("n"), "orders"),
+)
+_g(
+    "g_create",
+    "SELECT s_suppkey AS src, c_custkey AS dst, s_acctbal AS since FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE c_mktsegment = 'BUILDING' AND s_acctbal > 0",
+    lambda g: execute(g, "MATCH (s:SUPPLIER)-[:IN_NATION]->(n:NATION)<-[:IN_NATION]-(c:CUSTOMER) WHERE c.c_mktsegment = 'BUILDING' AND s.s_acctbal > 0 CREATE (s)-[:KNOWS {since: s.s_acctbal}]->(c)").edges["SUPPLIER", "KNOWS", "CUSTOMER"],
+)
+_g(
+    "a_wcc_labelled",
+    "SELECT label, count(*) AS n FROM (SELECT 'NATION' AS label FROM nation UNION ALL SELECT 'REGION' FROM region UNION ALL SELECT 'CUSTOMER' FROM customer UNION ALL SELECT 'SUPPLIER' FROM supplier) GROUP BY 1",
+    lambda g: g.run(al.wcc, edge_labels=["IN_NATION", "IN_REGION"]).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
+)
+_g(
+    "a_sssp_labelled",
+    "SELECT 'NATION' AS label, 0::BIGINT AS id, 0.0::DOUBLE AS distance UNION ALL SELECT 'REGION', n_regionkey::BIGINT, 1.0 FROM nation WHERE n_nationkey = 0",
+    lambda g: g.run(al.sssp, ("NATION", 0), edge_labels=["IN_NATION", "IN_REGION"]).where("distance is not null"),
+)
+
+_L = "SELECT c_custkey AS k, c_nationkey AS n FROM customer"
+_R = "SELECT s_suppkey AS k, s_nationkey AS m FROM supplier"
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
     _g(f"g_join_{_how}", f"SELECT k, n, m FROM ({_L}) {_sql} ({_R}) USING (k)", lambda g, how=_how: _sides(g)[0].join(_sides(g)[1], ["k"], how).df.select("k", "n", "m"))
 _g("g_join_semi", f"SELECT k, n FROM ({_L}) SEMI JOIN ({_R}) USING (k)", lambda g: _sides(g)[0].join(_sides(g)[1], ["k"], "left_semi").df.select("k", "n"))
@@ -135,7 +172,7 @@ _g("g_join_times", "SELECT a.r_regionkey AS x, b.r_regionkey AS y FROM region a
 
 
 def _sides(g: Graph) -> tuple[Rows, Rows]:
-    """All customers and all suppliers. The SQL still states the ids of `_L` and `_R` only, see the README."""
+    """All customers and all suppliers."""
     c, s = g.vertices["CUSTOMER"], g.vertices["SUPPLIER"]
     return Rows(g, c.select(F.col("id").alias("k"), F.col("c_nationkey").alias("n"))), Rows(g, s.select(F.col("id").alias("k"), F.col("s_nationkey").alias("m")))
 
@@ -291,8 +328,8 @@ _a(
 )
 _a(
     "a_katz",
-    _rounds(6, "SELECT id, 0.0::DOUBLE AS x FROM v", "SELECT v.id, 0.001 * coalesce(m, 0) + 1 AS x FROM v LEFT JOIN (SELECT dst AS id, sum(x * w) AS m FROM e JOIN {p} p ON p.id = e.src GROUP BY 1) USING (id)", "SELECT id, round(x / (SELECT sqrt(sum(x * x)) FROM {p}), 6) AS centrality FROM {p}"),
-    lambda e: _r(al.katz_centrality(e, alpha=0.001, max_round=6, tolerance=0.0), "centrality"),
+    _rounds(12, "SELECT id, 0.0::DOUBLE AS x FROM v", "SELECT v.id, 0.001 * coalesce(m, 0) + 1 AS x FROM v LEFT JOIN (SELECT dst AS id, sum(x * w) AS m FROM e JOIN {p} p ON p.id = e.src GROUP BY 1) USING (id)", "SELECT id, round(x / (SELECT sqrt(sum(x * x)) FROM {p}), 6) AS centrality FROM {p}"),
+    lambda e: _r(al.katz_centrality(e, alpha=0.001), "centrality"),
 )
 _a("a_hits", None, lambda e: _r(al.hits(e), "hub", "auth"))
 _a("a_eigenvector", None, lambda e: _r(al.eigenvector_centrality(e), "centrality"))
@@ -311,8 +348,8 @@ _a("a_wcc", f"WITH RECURSIVE {_U}, r AS (SELECT id AS a, id AS b FROM v UNION SE
 _a("a_scc", f"WITH RECURSIVE {_E}, r AS (SELECT id AS a, id AS b FROM v UNION SELECT a, dst FROM r JOIN e ON e.src = r.b) SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1", lambda e: al.scc(e))
 _a(
     "a_lpa",
-    _rounds(4, "SELECT id, id AS l FROM v", "SELECT p.id, coalesce(k, p.l) AS l FROM {p} p LEFT JOIN (SELECT id, arg_min(l, (-n, l)) AS k FROM (SELECT dst AS id, l, count(*) AS n FROM u JOIN {p} q ON q.id = u.src GROUP BY ALL) GROUP BY 1) USING (id)", "SELECT id, l AS label FROM {p}", _U),
-    lambda e: al.label_propagation(e, max_round=4),
+    _rounds(10, "SELECT id, id AS l FROM v", "SELECT p.id, coalesce(k, p.l) AS l FROM {p} p LEFT JOIN (SELECT id, arg_min(l, (-n, l)) AS k FROM (SELECT dst AS id, l, count(*) AS n FROM u JOIN {p} q ON q.id = u.src GROUP BY ALL) GROUP BY 1) USING (id)", "SELECT id, l AS label FROM {p}", _U),
+    lambda e: al.label_propagation(e),
 )
 _TRI = "t AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM u x JOIN u y ON x.dst = y.src JOIN u z ON z.src = x.src AND z.dst = y.dst WHERE x.src < x.dst AND x.dst < y.dst), tv AS (SELECT id, count(*) AS t FROM (SELECT unnest([a, b, c]) AS id FROM t) GROUP BY 1)"
 _a("a_triangles", f"WITH {_U}, {_TRI} SELECT v.id, coalesce(t, 0) AS triangles FROM v LEFT JOIN tv USING (id)", lambda e: al.triangles(e))
@@ -331,18 +368,78 @@ _a("a_avg_deg_conn", f"WITH {_E}, b AS (SELECT id, count(*) AS d FROM (SELECT un
 _a("a_attr_assort", f"WITH {_E}, c AS (SELECT src % 3 AS x, dst % 3 AS y, count(*)::DOUBLE AS n FROM e GROUP BY ALL), s AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE x = y) AS t FROM c), ab AS (SELECT sum(a * b) AS ab FROM (SELECT x, sum(n) AS a FROM c GROUP BY 1) JOIN (SELECT y AS x, sum(n) AS b FROM c GROUP BY 1) USING (x)) SELECT round((t / n - ab / (n * n)) / (1 - ab / (n * n)), 6) AS value FROM s, ab", lambda e: _r(al.attribute_assortativity(e, al.ends(e).select("id", (F.col("id") % 3).alias("a"))), "value"))
 _a("a_node_boundary", f"WITH {_E} SELECT DISTINCT dst AS id FROM e WHERE src % 50 = 1 AND dst % 50 <> 1", lambda e: al.node_boundary(e, al.ends(e).where("id % 50 = 1")))
 _a("a_edge_boundary", f"WITH {_E} SELECT DISTINCT src, dst FROM e WHERE src % 50 = 1 AND dst % 50 <> 1", lambda e: al.edge_boundary(e, al.ends(e).where("id % 50 = 1")).select("src", "dst"))
-_a("a_core_numbers", None, lambda e: al.core_numbers(e))
+_a(
+    "a_core_numbers",
+    _rounds(25, "SELECT v.id, coalesce(d, 0) AS c FROM v LEFT JOIN ud USING (id)", "SELECT p.id, least(p.c, coalesce(h, 0)) AS c FROM {p} p LEFT JOIN (SELECT id, max(least(r, c)) AS h FROM (SELECT dst AS id, c, row_number() OVER (PARTITION BY dst ORDER BY c DESC) AS r FROM u JOIN {p} q ON q.id = u.src) GROUP BY 1) USING (id)", "SELECT id, c::INT AS core FROM {p}", _U),
+    lambda e: al.core_numbers(e),
+)
+_a("a_k_core", f"SELECT id FROM ({SQL['a_core_numbers']}) WHERE core >= 20", lambda e: al.k_core(e, 20))
+_a("a_k_shell", f"SELECT id FROM ({SQL['a_core_numbers']}) WHERE core = (SELECT min(core) FROM ({SQL['a_core_numbers']}))", lambda e: _lowest_shell(e))
 _a("a_louvain", None, lambda e: al.louvain(e))
 _a("a_coloring", None, lambda e: al.graph_coloring(e))
 _a("a_mis", None, lambda e: al.maximal_independent_set(e))
 _a("a_matching", None, lambda e: al.maximal_matching(e))
-_a("a_msf", f"WITH RECURSIVE {_U} SELECT (SELECT count(*) FROM v) - 1 AS n", lambda e: al.minimum_spanning_forest(e).agg(F.count(F.lit(1)).alias("n")))
-_a("a_closeness", None, lambda e: _r(al.closeness_centrality(e), "centrality"))
+_a(
+    "a_msf",
+    f"""WITH RECURSIVE {_U}, ws AS (SELECT DISTINCT w FROM u), r AS (SELECT ws.w AS t, id AS a, id AS b FROM ws, v UNION SELECT r.t, r.a, u.dst FROM r JOIN u ON u.src = r.b AND u.w <= r.t),
+    c AS (SELECT t, count(DISTINCT m) AS c FROM (SELECT t, a, min(b) AS m FROM r GROUP BY ALL) GROUP BY 1), k AS (SELECT t, c, lag(c, 1, (SELECT count(*) FROM v)) OVER (ORDER BY t) - c AS k FROM c)
+    SELECT sum(k)::BIGINT AS n, sum(k * t) AS weight, min(c) AS trees FROM k""",
+    lambda e: _forest(e),
+)
+
+
+def _forest(e: DataFrame) -> DataFrame:
+    """Edges, weight and trees of the minimum spanning forest; it has no cycle if these make up the vertices."""
+    f = al.materialize(al.minimum_spanning_forest(e))
+    trees = al.wcc(f, al.ends(e)).agg(F.count_distinct("component").alias("t"))
+    return f.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight")).select("n", "weight", trees.scalar().alias("trees"))
+
+
+def _lowest_shell(e: DataFrame) -> DataFrame:
+    return al.k_shell(e, al.core_numbers(e).agg(F.min("core")).first()[0])
+
+
+def _independent(e: DataFrame) -> DataFrame:
+    """Edges within the set, and vertices outside that have no neighbour in it."""
+    m = al.materialize(al.maximal_independent_set(e))
+    u = al.both(e).select("src", "dst")
+    near = u.join(m.withColumnRenamed("id", "src"), "src", "left_semi")
+    inner = near.join(m.withColumnRenamed("id", "dst"), "dst", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    free = al.ends(e).join(m, "id", "left_anti").join(near.select(F.col("dst").alias("id")), "id", "left_anti")
+    return free.agg(F.count(F.lit(1)).alias("addable")).select(inner.scalar().alias("inner_edges"), "addable")
+
+
+def _matched(e: DataFrame) -> DataFrame:
+    """Vertices met twice by the matching, and edges that could join it."""
+    at = al.materialize(al.maximal_matching(e).select(F.explode(F.array("src", "dst")).alias("id")))
+    free = al.both(e).join(at.withColumnRenamed("id", "src"), "src", "left_anti").join(at.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    twice = at.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("k"))
+    return free.agg(F.count(F.lit(1)).alias("addable")).select(twice.scalar().alias("met_twice"), "addable")
+
+
+_a("a_mis_valid", "SELECT 0::BIGINT AS inner_edges, 0::BIGINT AS addable", _independent)
+_a("a_matching_valid", "SELECT 0::BIGINT AS met_twice, 0::BIGINT AS addable", _matched)
+_DIST = f"WITH RECURSIVE {_U}, r AS (SELECT id AS a, id AS b, 0 AS k FROM v UNION SELECT a, dst, k + 1 FROM r JOIN {{g}} ON src = r.b WHERE k < 6), d AS (SELECT a, b, min(k) AS k FROM r GROUP BY ALL)"
+_a("a_all_pairs", _DIST.replace("{g}", "e") + " SELECT a AS source, b AS id, k::DOUBLE AS dist FROM d", lambda e: al.all_pairs_shortest_path_length(e, weighted=False))
+_a("a_average_path", _DIST.replace("{g}", "e") + " SELECT round(sum(k) / (SELECT n * (n - 1) FROM nv), 6) AS value FROM d", lambda e: _r(al.average_shortest_path_length(e), "value"))
+_a("a_harmonic", _DIST.replace("{g}", "u") + " SELECT b AS id, round(sum(CASE WHEN k > 0 THEN 1 / k ELSE 0 END), 6) AS centrality FROM d GROUP BY 1", lambda e: _r(al.harmonic_centrality(e), "centrality"))
+_a("a_bfs_undirected", _DIST.replace("{g}", "u") + " SELECT b AS id, k AS depth FROM d WHERE a = 1", lambda e: al.bfs(e, 1, undirected=True).select("id", "depth"))
+_a("a_sssp_path", _rounds(14, "SELECT id, CASE WHEN id = 1 THEN 0.0 END::DOUBLE AS d FROM v", "SELECT p.id, least(p.d, m) AS d FROM {p} p LEFT JOIN (SELECT dst AS id, min(d + w) AS m FROM e JOIN {p} q ON q.id = e.src GROUP BY 1) USING (id)", "SELECT min(e.src) AS src, e.dst, any_value(y.d) AS distance FROM e JOIN {p} x ON x.id = e.src JOIN {p} y ON y.id = e.dst WHERE x.d + e.w = y.d AND e.dst <> 1 GROUP BY e.dst"), lambda e: al.sssp_path(e, 1))
+for _kind, _sql in (("cycle_plus", "e z ON z.src = y.dst AND z.dst = x.src JOIN e b ON b.src = x.dst AND b.dst = x.src"), ("in_plus", "e z ON z.src = x.src AND z.dst = y.dst JOIN e b ON b.src = x.dst AND b.dst = x.src AND x.src < x.dst")):
+    _a(f"a_{_kind}_triangle", f"WITH {_E} SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src JOIN {_sql} WHERE y.dst <> x.src", lambda e, k=_kind: al.directed_triangle_count(e, k))
+_a("a_out_plus_triangle", f"WITH {_E} SELECT count(*) AS n FROM e x JOIN e b ON b.src = x.dst AND b.dst = x.src AND x.src < x.dst JOIN e y ON y.dst = x.src JOIN e z ON z.src = y.src AND z.dst = x.dst", lambda e: al.directed_triangle_count(e, "out_plus"))
+_a("a_clustering_directed", f"WITH {_E}, b AS MATERIALIZED (SELECT src, dst, count(*) AS m FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) GROUP BY ALL), t AS (SELECT x.src AS id, sum(x.m * y.m * z.m) AS t FROM b x JOIN b y ON y.src = x.src JOIN b z ON z.src = x.dst AND z.dst = y.dst WHERE x.dst < y.dst GROUP BY 1), g AS (SELECT src AS id, sum(m) AS dt, count(*) FILTER (WHERE m = 2) AS dr FROM b GROUP BY 1) SELECT id, round(CASE WHEN dt * (dt - 1) > 2 * dr THEN coalesce(t, 0) / (dt * (dt - 1) - 2 * dr) ELSE 0 END, 6)::DOUBLE AS coefficient FROM g LEFT JOIN t USING (id)", lambda e: _r(al.clustering(e, directed=True), "coefficient"))
+_a("a_katz_flash", _rounds(10, "SELECT id, 1.0::DOUBLE AS x FROM v", "SELECT v.id, 0.01 * coalesce(m, 0) AS x FROM v LEFT JOIN (SELECT src AS id, sum(x + 1) AS m FROM e JOIN {p} p ON p.id = e.dst GROUP BY 1) USING (id)", "SELECT id, round(x, 6) AS centrality FROM {p}"), lambda e: _r(al.katz_flash(e, alpha=0.01), "centrality"))
+_a("a_eigenvector_flash", _rounds(10, "SELECT id, 1.0 / n AS x FROM v, nv", "SELECT id, y / sqrt(sum(y) OVER ()) AS x FROM (SELECT v.id, coalesce(m, 0) AS y FROM v LEFT JOIN (SELECT dst AS id, sum(x) AS m FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) JOIN {p} p ON p.id = src GROUP BY 1) USING (id))", "SELECT id, round(x, 4) AS centrality FROM {p}"), lambda e: al.eigenvector_flash(e).withColumn("centrality", F.round("centrality", 4)))
+_a("a_pagerank_fixed", _rounds(10, "SELECT id, 1 / n AS r FROM v, nv", "SELECT p.id, 0.15 / n + 0.85 * coalesce(m, 0) + CASE WHEN d IS NULL THEN 0.85 * p.r ELSE 0 END AS r FROM {p} p CROSS JOIN nv LEFT JOIN dg USING (id) LEFT JOIN (SELECT dst AS id, sum(r / d) AS m FROM e JOIN {p} q ON q.id = e.src JOIN dg ON dg.id = e.src GROUP BY 1) USING (id)", "SELECT id, round(r, 6) AS rank FROM {p}"), lambda e: _r(al.pagerank_fixed(e), "rank"))
+_a("a_num_assort", f"WITH {_E} SELECT round(corr(src, dst), 6) AS value FROM e", lambda e: _r(al.numeric_assortativity(e, al.ends(e).select("id", F.col("id").alias("a"))), "value"))
+_a("a_weighted_assort", f"WITH {_E}, o AS (SELECT src AS id, sum(w) AS d FROM e GROUP BY 1), i AS (SELECT dst AS id, sum(w) AS d FROM e GROUP BY 1) SELECT round(corr(coalesce(o.d, 0), coalesce(i.d, 0)), 6) AS value FROM e LEFT JOIN o ON o.id = src LEFT JOIN i ON i.id = dst", lambda e: _r(al.degree_assortativity(e, weighted=True), "value"))
+_a("a_closeness", _DIST.replace("{g}", "e") + " SELECT b AS id, round(CASE WHEN sum(k) > 0 THEN (count(*) - 1) / sum(k) * (count(*) - 1) / (SELECT n - 1 FROM nv) ELSE 0 END, 6) AS centrality FROM d GROUP BY 1", lambda e: _r(al.closeness_centrality(e), "centrality"))
 
 # -- graphs, selectors, sampling ---------------------------------------------------------------------------------
 _g("s_project", "SELECT c_custkey AS id, c_mktsegment FROM customer", lambda g: g.project({"CUSTOMER": ["c_mktsegment"], "ORDERS": []}, {"PLACED": None}).vertices["CUSTOMER"])
-_g("s_induce", "SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_custkey <= 50", lambda g: g.induce("CUSTOMER", g.vertices["CUSTOMER"].where("id <= 50").select("id")).edges["CUSTOMER", "PLACED", "ORDERS"].select("src", "dst"))
-_g("s_undirected", f"WITH {_E}, h AS (SELECT src, dst, w FROM e WHERE w >= 3) SELECT src, dst, w FROM h UNION SELECT dst, src, w FROM h", lambda g: g.to_undirected().edges["USER", "NEXT", "USER"], _user_graph)
+_g("s_induce", "SELECT o_custkey AS src, o_orderkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'", lambda g: g.induce("CUSTOMER", g.vertices["CUSTOMER"].where("c_mktsegment = 'BUILDING'").select("id")).edges["CUSTOMER", "PLACED", "ORDERS"].select("src", "dst"))
+_g("s_undirected", f"WITH {_E}, h AS (SELECT src, dst, w FROM e) SELECT src, dst, w FROM h UNION SELECT dst, src, w FROM h", lambda g: g.to_undirected().edges["USER", "NEXT", "USER"], _user_graph)
 _g("s_add_column", "SELECT c_custkey AS id, c_mktsegment AS seg, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey", lambda g: g.add_column("CUSTOMER", g.edges["CUSTOMER", "PLACED", "ORDERS"].groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k")), {"n": "k"}).vertices["CUSTOMER"].select("id", F.col("c_mktsegment").alias("seg"), "n"))
 _g("s_consolidate", "SELECT p_partkey AS id, [p_brand, p_type] AS kinds FROM part", lambda g: g.consolidate("PART", ["p_brand", "p_type"], "kinds").vertices["PART"].select("id", "kinds"))
 _g("s_selectors", "SELECT c_custkey AS k, c_mktsegment AS seg FROM customer WHERE c_custkey::VARCHAR >= '10' AND c_custkey::VARCHAR < '12'", lambda g: select(g, {"k": "v.id", "seg": "v.c_mktsegment"}, "CUSTOMER", vertex_range=("10", "12")))

@@ -48,5 +48,16 @@ _t("gr_path_simple", "g.V().out('2..3', 'NEXT').with('PATH_OPT', 'SIMPLE').count
 _t("gr_match", "g.V().hasLabel('USER').match(__.as('a').out('NEXT').as('b'), __.as('b').out('NEXT').as('c'), __.as('c').out('NEXT').as('a')).count()", f"{_P} SELECT count(*) AS count FROM h x JOIN h y ON x.dst = y.src JOIN h z ON y.dst = z.src AND z.dst = x.src", _user_graph)
 _t("gr_by_traversal", "g.V().hasLabel('CUSTOMER').as('c').select('c').by(out('PLACED').count())", "SELECT count(o_orderkey) AS c FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 _t("gr_element_map", "g.V().hasLabel('REGION').elementMap('r_name')", None)
+_t("gr_both", "g.V().hasLabel('NATION').both('IN_REGION', 'IN_NATION').groupCount().by(label)", "SELECT 'REGION' AS k0, count(*) AS v0 FROM nation UNION ALL SELECT 'CUSTOMER', count(*) FROM customer UNION ALL SELECT 'SUPPLIER', count(*) FROM supplier")
+_t("gr_in_e", "g.V().hasLabel('PART').inE('CONTAINS').has('quantity', eq(7.0)).outV().dedup().id()", "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity = 7")
+_t("gr_is", "g.V().hasLabel('PART').values('p_size').is(outside(3, 48)).identity()", "SELECT p_size FROM part WHERE p_size < 3 OR p_size > 48")
+_t("gr_constant", "g.V().hasLabel('REGION').constant('x')", "SELECT 'x' AS constant FROM region")
+_t("gr_sum_mean", "g.V().hasLabel('PART').values('p_size').sum()", "SELECT sum(p_size)::BIGINT AS sum FROM part")
+_t("gr_min", "g.V().hasLabel('PART').values('p_size').min()", "SELECT min(p_size) AS min FROM part")
+_t("gr_text_more", "g.V().hasLabel('PART').has('p_type', TextP.notStartingWith('S')).has('p_name', TextP.containing('1')).has('p_brand', TextP.endingWith('3')).has('p_type', TextP.notEndingWith('X')).id()", "SELECT p_partkey AS id FROM part WHERE p_type NOT LIKE 'S%' AND p_name LIKE '%1%' AND p_brand LIKE '%3' AND p_type NOT LIKE '%X'")
+_t("gr_predicates_more", "g.V().hasLabel('PART').has('p_size', lte(10)).has('p_brand', without('Brand#11', 'Brand#12')).has('p_size', P.not(eq(4))).id()", "SELECT p_partkey AS id FROM part WHERE p_size <= 10 AND p_brand NOT IN ('Brand#11', 'Brand#12') AND p_size <> 4")
+_t("gr_where_by", "g.V().hasLabel('CUSTOMER').as('a').out('IN_NATION').in('IN_NATION').hasLabel('SUPPLIER').as('b').where('a', lt('b')).by('c_acctbal').by('s_acctbal').count()", "SELECT count(*) AS count FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal < s_acctbal")
+_t("gr_sample_count", "g.V().hasLabel('CUSTOMER').sample(10).count()", "SELECT 10::BIGINT AS count")
+_t("gr_coin_all", "g.V().hasLabel('CUSTOMER').coin(1.0).count()", "SELECT count(*) AS count FROM customer")
 _t("gr_coin", "g.V().hasLabel('CUSTOMER').coin(0.5).count()", None)
 _t("gr_sample", "g.V().hasLabel('CUSTOMER').sample(10).id()", None)
