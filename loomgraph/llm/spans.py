@@ -4,27 +4,29 @@ Recompression names a text bottom up: in turn, short runs of one symbol and pair
 symbol of the next level, until phrases are some ten characters long. A name is a hash of the names it stands for, so
 equal phrases have equal names in every document without any exchange, and whether two neighbours merge depends on the
 two alone (a bit of each name says whether it is a left or a right half; both must be short). A boundary between
-phrases is therefore decided by the `REACH` characters at either side of it, and two equal stretches of text agree on
-all boundaries and phrases but those within REACH of their ends.
+phrases is therefore decided by the `reach` characters at either side of it, and two equal stretches of text agree on
+all boundaries and phrases but those within reach of their ends.
 
 Every window of `length` characters then has an anchor that its own text determines: of the phrases that begin at
-least REACH after its start and end at least REACH before its end, the one of least name, the first of these on ties.
+least reach after its start and end at least reach before its end, the one of least name, the first of these on ties.
 Neighbouring windows mostly share their anchor, so a document has one anchor in some ninety characters, and windows
 are equal only if their anchors are. Spark then sifts in three grains, each a plain aggregate over 64-bit names:
 
-1. the text around an anchor that lies in all of its windows (`core`): anchors whose core occurs in one document only
-   are done with, which are most;
+1. the anchor's symbol with the text that decides it, which lies in all of its windows (`core`): anchors whose core
+   occurs in one document only are done with, which are most;
 2. the text of all windows of an anchor (`whole`): if another document has it too, all of these windows are shared;
 3. what is left sits at the ends of shared stretches: blocks of windows, and then single windows, of one
    representative per distinct whole.
 
-A result needs the core and the whole (or window) to agree, 128 bits. Nothing pairs up the members of a group: each
+A result needs the core and the whole (or window) to agree: 64 bits made from the symbols' names tell cores apart, and 64
+others, made from the characters, the texts with one core. Nothing pairs up the members of a group: each
 grain keeps the least and the greatest document of a name, which differ exactly if the name is shared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,31 @@ from ..session import materialize
 
 #: The rounds of recompression: (kind, longest phrase that takes part, longest run that is merged).
 ROUNDS = (("run", 1, 4), ("pair", 2, 0), ("pair", 3, 0), ("pair", 4, 0), ("run", 3, 6), ("pair", 5, 0), ("pair", 6, 0), ("pair", 8, 0), ("pair", 8, 0))
-#: Characters at either side of a boundary that decide it, and the longest phrase.
-REACH = sum(longest + run for _, longest, run in ROUNDS)
-PHRASE = 2 * max(longest for _, longest, _ in ROUNDS)
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """The rounds used: `reach` characters at either side of a boundary decide it, and no phrase is longer than `phrase`."""
+
+    rounds: tuple[tuple[str, int, int], ...]
+
+    @property
+    def reach(self) -> int:
+        return sum(longest + run for _, longest, run in self.rounds)
+
+    @property
+    def phrase(self) -> int:
+        return max([1, *[run if kind == "run" else 2 * longest for kind, longest, run in self.rounds]])
+
+    @staticmethod
+    def of(length: int) -> Grammar:
+        """All rounds, or as many of the first ones as leave room for an anchor in windows of this length."""
+        for k in range(len(ROUNDS), 0, -1):
+            if 2 * (g := Grammar(ROUNDS[:k])).reach + 2 * g.phrase <= length:
+                return g
+        return Grammar(())
+
+
 #: Characters that are named at once; longer texts are cut into overlapping parts.
 PART = 1 << 19
 BLOCK = 16
@@ -76,13 +100,13 @@ class Texts:
         return mix((self.sums[end] - self.sums[first]) * Texts._inverses[first] + _U(salt)).view(np.int64)
 
 
-def recompress(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def recompress(texts: Texts, rounds: tuple[tuple[str, int, int], ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The phrases of the top level: positions, names, and index of the text."""
     n = len(texts.codes)
     pos, name = np.arange(n, dtype=np.int64), texts.names
     first = np.zeros(n, bool)
     first[texts.starts[texts.starts < n]] = True
-    for turn, (kind, longest, most) in enumerate(ROUNDS):
+    for turn, (kind, longest, most) in enumerate(rounds):
         size = np.diff(pos, append=n)
         short = size <= longest
         if kind == "run":
@@ -110,8 +134,10 @@ def recompress(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def anchors(texts: Texts, length: int) -> tuple[np.ndarray, ...]:
     """Anchors as (text, first window, last window - first, anchor - first window, core, whole); windows within the text."""
-    pos, name, text = recompress(texts)
-    width = length - 2 * REACH - PHRASE  # the anchor lies in [window + REACH, window + REACH + width]
+    grammar = Grammar.of(length)
+    reach, phrase = grammar.reach, grammar.phrase
+    pos, name, text = recompress(texts, grammar.rounds)
+    width = length - 2 * reach - phrase  # the anchor lies in [window + reach, window + reach + width]
     begin, end = texts.starts[text], texts.ends[text]
     low, high = np.maximum(pos - width, begin), np.minimum(pos, end)
     idx = np.arange(len(pos))
@@ -131,11 +157,12 @@ def anchors(texts: Texts, length: int) -> tuple[np.ndarray, ...]:
         stop = name[other] < name[active]
         high[active[stop]] = np.minimum(high[active[stop]], pos[other[stop]] - 1 - width)
         active, step = active[~stop], step + 1
-    first = np.maximum(low - REACH, begin)
-    last = np.minimum(high - REACH, end - length)
+    first = np.maximum(low - reach, begin)
+    last = np.minimum(high - reach, end - length)
     ok = last >= first
-    pos, text, first, last = pos[ok], text[ok], first[ok], last[ok]
-    core = texts.hashes(pos - REACH, pos + REACH + PHRASE, 1)
+    pos, name, text, first, last = pos[ok], name[ok], text[ok], first[ok], last[ok]
+    around = texts.hashes(pos - reach, pos + reach + phrase, 1)
+    core = mix(name * _BASE + around.view(_U)).view(np.int64)  # the anchor's symbol, and what decided it
     whole = texts.hashes(first, last + length, 2)
     return text, first - texts.starts[text], last - first, pos - first, core, whole
 
@@ -166,9 +193,9 @@ def _find_anchors(docs: DataFrame, length: int) -> DataFrame:
                 text, first, span, off, core, whole = anchors(Texts(parts), length)
                 doc = np.array([o[0] for o in owners], np.int64)[text]
                 first = first + np.array([o[1] for o in owners], np.int64)[text]
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first.astype(np.int32)), pa.array(span.astype(np.int16)), pa.array(off.astype(np.int16)), pa.array(core), pa.array(whole)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first.astype(np.int32)), pa.array(span.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(core), pa.array(whole)], names=names)
 
-    return docs.mapInArrow(run, "doc long, first int, span short, off short, core long, whole long")
+    return docs.mapInArrow(run, "doc long, first int, span int, off int, core long, whole long")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -204,7 +231,7 @@ def _grain(pieces: DataFrame, length: int, block: int, only: bool) -> DataFrame:
             h = texts.hashes(frm, to, 3 + only)
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row)) for c in ("core", "whole", "span", "lo", "hi")), pa.array(rel, pa.int32()), pa.array(h)], names=["core", "whole", "span", "lo", "hi", "rel", "h"])
 
-    return pieces.mapInArrow(run, "core long, whole long, span short, lo long, hi long, rel int, h long")
+    return pieces.mapInArrow(run, "core long, whole long, span int, lo long, hi long, rel int, h long")
 
 
 def _shared(hashes: DataFrame) -> DataFrame:
@@ -216,10 +243,10 @@ def shared_spans(documents: DataFrame, length: int = 300, doc_id: str = "doc_id"
 
     Columns `doc_id, span_start, span_len`, one row per stretch. Null and short texts have none; a document that is
     there twice under one id shares nothing with itself, exact copies under two ids share everything. Other columns
-    aren't read. `length` must leave room for an anchor: at least 2 * REACH + 2 * PHRASE.
+    aren't read. Any `length` from 2 will do; below 132 the symbols come from fewer rounds and are shorter.
     """
-    if length < 2 * REACH + 2 * PHRASE:
-        raise ValueError(f"length must be at least {2 * REACH + 2 * PHRASE}")
+    if length < 2:
+        raise ValueError("length must be at least 2")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= length))
     found = materialize(_find_anchors(docs, length))
 
@@ -234,7 +261,7 @@ def shared_spans(documents: DataFrame, length: int = 300, doc_id: str = "doc_id"
 
     open_cores = classes.groupBy("core").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.max(F.col("lo") == F.col("hi")).alias("open")).where("open and l < h").select("core")
     pieces = materialize(_cut(docs, classes.join(open_cores, "core", "left_semi"), length))
-    blocks = _grain(pieces, length, BLOCK, False)
+    blocks = materialize(_grain(pieces, length, BLOCK, False))
     hit = blocks.join(_shared(blocks), ["core", "rel", "h"], "left_semi").groupBy(*key).agg(F.sort_array(F.collect_set("rel")).alias("at"))
     windows = materialize(_grain(pieces.join(hit, key), length, BLOCK, True))
     single = windows.where("lo = hi").join(_shared(windows), ["core", "rel", "h"], "left_semi").select(*key, "rel").distinct()

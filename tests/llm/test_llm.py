@@ -74,8 +74,19 @@ def test_spans_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert set(rows(spans.shared_spans(df))) == brute(docs, 300)
     assert spans.shared_spans(df.limit(0)).count() == 0
+    for length in (100, 17):
+        assert set(rows(spans.shared_spans(df, length))) == brute(docs, length)
     with pytest.raises(ValueError):
-        spans.shared_spans(df, 100)
+        spans.shared_spans(df, 1)
+
+
+def test_texts_with_one_core_that_differ_outside(spark):
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    middle = text(280)  # too short to be shared by itself
+    docs = [(i, text(200) + middle + text(200)) for i in range(6)] + [(6, text(50) + "ZY" + middle + "QX" * 10 + text(90)), (7, text(70) + "ZY" + middle + "QX" * 10 + text(60))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert set(rows(spans.shared_spans(df))) == brute(docs, 300) == {(6, 50, 302), (7, 70, 302)}
 
 
 def test_mix_reaches_shares_and_caps(spark):
