@@ -245,9 +245,11 @@ def projections(type_def: DataFrame) -> DataFrame:
     )
 
 
-def unified_rows(vertex_row: DataFrame, type_def: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+def unified_rows(vertex_row: DataFrame, type_def: DataFrame, plan: DataFrame | None = None, kinds: bool = False) -> DataFrame:
     """Every row under its type's columns: `row_id, graph_id, label, version_id, properties` (map column -> text).
 
+    With `kinds` also a map from column to its type.
+
     Keys a version doesn't define are dropped as unknown, columns a version lacks are absent, JSON nulls are null, a
     payload that is no JSON object has an empty map, and rows of an unknown def_id have a null type and an
     empty map. Repeated rows
@@ -255,13 +257,36 @@ def unified_rows(vertex_row: DataFrame, type_def: DataFrame, plan: DataFrame | N
     """
     plan = projections(type_def) if plan is None else plan
     compiled = plan.groupBy("def_id", "graph_id", "label", "version_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("property_name", "column_name"))).alias("to_column")
+        F.map_from_entries(F.collect_list(F.struct("property_name", "column_name"))).alias("to_column"), F.map_from_entries(F.collect_list(F.struct("column_name", "kind"))).alias("kinds")
     )
     compiled = compiled.withColumnRenamed("def_id", "_def")
     rows = vertex_row.select("row_id", "def_id", F.from_json("payload", "map<string,string>").alias("p"))
     joined = rows.join(compiled, F.col("def_id") == F.col("_def"), "left")
     kept = F.map_filter(F.coalesce("p", F.create_map().cast("map<string,string>")), lambda k, _: F.map_contains_key(F.col("to_column"), k))
-    return joined.select("row_id", "graph_id", "label", "version_id", F.transform_keys(kept, lambda k, _: F.element_at("to_column", k)).alias("properties"))
+    return joined.select("row_id", "graph_id", "label", "version_id", F.transform_keys(kept, lambda k, _: F.element_at("to_column", k)).alias("properties"), *(["kinds"] if kinds else []))
+
+
+def typed(value: Column, kind: Column) -> Column:
+    """A text in the spelling that its column's type gives it; null where it doesn't fit. Whole numbers that were written
+    as such, numbers, truth values, days and milliseconds each have one spelling; other kinds stay as they are."""
+    number = value.try_cast("decimal(38,0)").cast("string")
+    out = F.when(kind.isin("INT", "LONG", "UINT", "ULONG"), F.when(value.rlike("^-?[0-9]+$"), number))
+    out = out.when(kind.isin("FLOAT", "DOUBLE"), value.try_cast("double").cast("string"))
+    out = out.when(kind == "BOOL", value.try_cast("boolean").cast("string"))
+    out = out.when(kind == "DATE32", F.coalesce(F.date_from_unix_date(value.try_cast("int")), value.try_cast("date")).cast("string"))
+    at = F.coalesce(F.timestamp_millis(value.try_cast("bigint")), value.try_cast("timestamp"))
+    return out.when(kind == "TIMESTAMP_MS", F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS")).otherwise(value)
+
+
+def typed_rows(vertex_row: DataFrame, type_def: DataFrame) -> DataFrame:
+    """`unified_rows` with every value in its column's type: `properties` (map column -> struct of kind and value)."""
+    rows = unified_rows(vertex_row, type_def, kinds=True)
+
+    def value(name: Column, text: Column) -> Column:
+        kind = F.element_at("kinds", name)
+        return F.struct(kind.alias("kind"), typed(text, kind).alias("value"))
+
+    return rows.select("row_id", "graph_id", "label", "version_id", F.transform_values("properties", value).alias("properties"))
 
 
 def type_table(rows: DataFrame, plan: DataFrame, graph_id: int, label: str) -> DataFrame:

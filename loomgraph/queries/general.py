@@ -32,8 +32,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Every vertex row under the columns of its type, as JSON with sorted keys."""
-    rows = drift.unified_rows(read(spark, d, "vertex_row"), read(spark, d, "type_def"))
+    """Every vertex row under the columns of its type, with each value in its column's type, as JSON with sorted keys."""
+    rows = drift.typed_rows(read(spark, d, "vertex_row"), read(spark, d, "type_def"))
     ordered = F.map_from_entries(F.array_sort(F.map_entries("properties")))
     return rows.select("row_id", "graph_id", "label", "version_id", F.to_json(ordered).alias("properties"))
 

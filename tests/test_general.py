@@ -88,6 +88,8 @@ def test_schema_steps_skip_repeats_and_unify_rows(spark):
     table = drift.type_table(unified, plan, 1, "v").orderBy("row_id").collect()
     assert [(r.row_id, r.a, r.b, r.c) for r in table] == [(1, 5, None, "x"), (2, None, 2.5, "y"), (3, None, None, None)]
     assert drift.schema_changes(type_def.limit(0)).count() == 0
+    got = {r.row_id: {k: (v.kind, v.value) for k, v in r.properties.items()} for r in drift.typed_rows(vr, type_def).collect()}
+    assert got == {1: {"a": ("LONG", "5"), "c": ("STRING", "x")}, 2: {"c": ("STRING", "y"), "b": ("DOUBLE", "2.5")}, 3: {}, 4: {}}
 
 
 def split_strict(line, delim):
