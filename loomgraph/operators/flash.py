@@ -81,9 +81,9 @@ def onion_layers(edges: DataFrame) -> DataFrame:
 
 def degeneracy_ordering(edges: DataFrame) -> DataFrame:
     """`id, position`: by core number, layer and id."""
-    from pyspark.sql import Window
+    from ..plans.rows import numbered
 
-    return onion_layers(edges).select("id", F.row_number().over(Window.orderBy("core", "layer", "id")).alias("position"))
+    return numbered(onion_layers(edges), [F.col("core"), F.col("layer"), F.col("id")], "position").select("id", "position")
 
 
 def densest_subgraph(edges: DataFrame, epsilon: float = 0.1) -> DataFrame:
