@@ -85,7 +85,7 @@ def error_parse(line: str, delim: str, fields: int | None) -> tuple[int, list[tu
     """Cheapest edits under which `line` has sound quoting and `fields` fields (None: any number): (cost, [(position, edit)]).
 
     Edits are delete_quote, insert_quote, delete_delim and insert_delim, at cost 1 each and at any place. Of equally cheap
-    repairs one is given, always the same. Cells of the programme are (tokens read, state, fields begun). They are
+    repairs one is given, always the same, and rather a late one. Cells of the programme are (tokens read, state, fields begun). They are
     filled in the order of their cost plus the delimiters that must still be inserted as too few are left, so that a
     sound line fills one cell per token and a line of cost c only cells that a repair of cost c might pass.
     """
@@ -105,26 +105,41 @@ def error_parse(line: str, delim: str, fields: int | None) -> tuple[int, list[tu
     reach((0, _START, 1), 0, None, None)
     while True:
         total = min(todo)
-        while stack := todo.get(total):
-            cell, cost, before, edit = stack.pop()
-            if cell in back:
+        todo[total].reverse()  # repairs late in the line come first
+        filled = []  # cells whose edits are still to be tried: only once nothing is left that costs no more
+        while todo[total] or filled:
+            if not todo[total]:
+                cell, cost = filled.pop()
+                i, state, f = cell
+                at, kind = tokens[i][:2] if i < n else (len(line), "")
+                if state != _PLAIN:
+                    reach((i, _NEXT["q"][state], f), cost + 1, cell, (at, "insert_quote"))
+                if kind == "q":
+                    reach((i + 1, state, f), cost + 1, cell, (at, "delete_quote"))
+                elif kind == "d":
+                    reach((i + 1, state, f), cost + 1, cell, (at, "delete_delim"))
+                if state != _QUOTED and (fields is None or f < fields):
+                    reach((i, _START, f if fields is None else f + 1), cost + 1, cell, (at, "insert_delim"))
                 continue
-            back[cell] = (before, edit)
-            i, state, f = cell
-            if i == n and state != _QUOTED and (fields is None or f == fields):
-                return cost, _edits(back, cell)
-            at, kind = tokens[i][:2] if i < n else (len(line), "")
-            if state != _PLAIN:
-                reach((i, _NEXT["q"][state], f), cost + 1, cell, (at, "insert_quote"))
-            if kind == "q":
-                reach((i + 1, state, f), cost + 1, cell, (at, "delete_quote"))
-            elif kind == "d":
-                reach((i + 1, state, f), cost + 1, cell, (at, "delete_delim"))
-            if state != _QUOTED and (fields is None or f < fields):
-                reach((i, _START, f if fields is None else f + 1), cost + 1, cell, (at, "insert_delim"))
-            begins = kind == "d" and state != _QUOTED and fields is not None
-            if i < n and _NEXT[kind][state] is not None and not (begins and f == fields):
-                reach((i + 1, _NEXT[kind][state], f + begins), cost, cell, None)
+            cell, cost, before, edit = todo[total].pop()
+            while cell not in back:
+                back[cell] = (before, edit)
+                filled.append((cell, cost))
+                i, state, f = cell
+                if i == n:
+                    if state != _QUOTED and (fields is None or f == fields):
+                        return cost, _edits(back, cell)
+                    break
+                kind = tokens[i][1]
+                nxt = _NEXT[kind][state]
+                if kind == "d" and state != _QUOTED and fields is not None:
+                    f += 1
+                if nxt is None or (fields is not None and f > fields):
+                    break
+                before, edit, cell = cell, None, (i + 1, nxt, f)
+                if fields is not None and cost + max(0, fields - f - left[i + 1]) > total:
+                    reach(cell, cost, before, None)
+                    break
         del todo[total]
 
 
