@@ -97,12 +97,12 @@ class Grown:
         self.layers = [(0, first)]
 
     def add(self, layer: DataFrame) -> None:
-        """Adds a materialised frame."""
-        self.layers.append((0, layer))
+        """Adds a materialised frame. The one added last stays as it is, as it may be the front of the next round."""
         while len(self.layers) >= 8 and len({size for size, _ in self.layers[-8:]}) == 1:
             last = self.layers[-8:]
             merged = materialize(_union([df for _, df in last]), replaces=[df for _, df in last])
             self.layers = [*self.layers[:-8], (last[0][0] + 1, merged)]
+        self.layers.append((0, layer))
 
     def rows(self) -> DataFrame:
         return _union([df for _, df in self.layers])

@@ -226,3 +226,9 @@ def test_further_algorithms(spark):
     assert rows(x.zip(y, [F.col("a")], [F.col("b")]).df.select("a", "b")) == [(1, 1), (2, 2), (3, 3), (4, 4)]
     assert {k: r.df.count() for k, r in x.switch(low=F.col("a") < 3).items()} == {"low": 2, "default": 4}
     assert x.merge_tagged(other=x).df.groupBy("tag").count().count() == 2
+
+
+def test_searches_of_many_rounds(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(1, 20)])
+    assert rows(al.bfs(chain, 1).select("id", "depth")) == sorted(((i, i - 1) for i in range(1, 21)), key=repr)
+    assert rows(al.sssp(chain, 1)) == sorted(((i, float(i - 1)) for i in range(1, 21)), key=repr)
