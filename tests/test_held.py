@@ -1,6 +1,11 @@
 import random
+from fractions import Fraction
 
+import pytest
+
+from loomgraph import session
 from loomgraph.operators import algorithms as al
+from loomgraph.operators import held
 
 from .conftest import rows
 
@@ -17,6 +22,52 @@ def some_graph(seed, n=90, m=420, loops=False):
     return sorted((a, b) for a, b in found if loops or a != b)
 
 
+def distances(pairs):
+    """Breadth first from every vertex."""
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, []).append(b)
+    out = {}
+    for s in {v for p in pairs for v in p}:
+        out[s, s], front = 0, [s]
+        while front:
+            front = [b for a in front for b in to.get(a, []) if (s, b) not in out and not out.update({(s, b): out[s, a] + 1})]
+    return out
+
+
+@pytest.fixture(params=["held", "joined"])
+def limit(request, monkeypatch):
+    """Both ways to search: over arrays, and by joins as for graphs that workers can't hold."""
+    if request.param == "joined":
+        monkeypatch.setattr(held, "HELD", 0)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The frames that are written."""
+    out, new = [], session._new_path
+    monkeypatch.setattr(session, "_new_path", lambda spark: out.append(1) or new(spark))
+    return out
+
+
+def near(got, wanted):
+    assert {k for k, _ in got} == set(wanted) and all(abs(x - float(wanted[k])) < 1e-9 for k, x in got)
+
+
+def test_all_pairs_by_brute_force(spark, limit):
+    pairs = some_graph(1)
+    e, d = frame(spark, pairs), distances(pairs)
+    ids = {s for s, _ in d}
+    into = {v: [k for (_, b), k in d.items() if b == v] for v in ids}
+    near(rows(al.closeness_centrality(e)), {v: Fraction((len(x) - 1) ** 2, sum(x) * (len(ids) - 1)) if sum(x) else 0 for v, x in into.items()})
+
+
+def test_searches_from_everywhere_write_no_rounds(spark, written):
+    e = frame(spark, [(k, k + 1) for k in range(30)])
+    assert al.closeness_centrality(e).count() == 31
+    assert len(written) < 16
+
+
 def test_shells_are_peeled(spark, monkeypatch):
     pairs = [(a, b) for a, b in some_graph(4, 90, 500) if a < 70] + [(200, 201), (201, 202)]
     core = {r.id: r.core for r in al.core_numbers(frame(spark, pairs)).collect()}
