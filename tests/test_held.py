@@ -1,11 +1,15 @@
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
 
 from loomgraph import session
+from loomgraph.graph import Graph
 from loomgraph.operators import algorithms as al
 from loomgraph.operators import held
+from loomgraph.plans.cypher import cypher
+from loomgraph.plans.rows import Rows
 
 from .conftest import rows
 
@@ -62,9 +66,26 @@ def test_all_pairs_by_brute_force(spark, limit):
     near(rows(al.closeness_centrality(e)), {v: Fraction((len(x) - 1) ** 2, sum(x) * (len(ids) - 1)) if sum(x) else 0 for v, x in into.items()})
 
 
+def test_shortest_lengths_by_brute_force(spark, limit):
+    pairs = some_graph(2)
+    g, d = Graph.from_edges({("V", "e", "V"): frame(spark, pairs)}), distances(pairs)
+    wanted = lambda most: sorted(((a, b, k) for (a, b), k in d.items() if 0 < k <= most), key=repr)
+    lengths = lambda upper, **k: rows(Rows.scan(g, "a", ["V"]).shortest_lengths("a", "b", upper, ["e"], path="p", **k).df.select("a", "b", "p__length"))
+    assert lengths(4) == wanted(3) and lengths(None) == wanted(99) and lengths(1) == []
+    assert lengths(4, direction="in") == sorted(((b, a, k) for a, b, k in wanted(3)), key=repr)
+    text = "MATCH p = shortestPath((a:V)-[:e*1..4]->(b:V)) RETURN length(p) AS k, count(*) AS n"
+    counts = Counter(k for _, _, k in wanted(3))
+    assert rows(cypher(g, text)) == sorted(counts.items(), key=repr)
+    assert rows(cypher(g, text.replace("RETURN", "WHERE a.id < 5 AND length(p) > 1 RETURN"))) == sorted(Counter(k for a, _, k in wanted(3) if a < 5 and k > 1).items(), key=repr)
+    assert rows(cypher(g, text.replace("count(*) AS n", "nodes(p) AS n").replace("RETURN", "WHERE a.id = 3 AND b.id < 9 RETURN"))) == rows(cypher(g, text.replace("count(*)", "nodes(p)").replace("(a:V)", "(a:V {id: 3})").replace("RETURN", "WHERE b.id < 9 RETURN")))
+
+
 def test_searches_from_everywhere_write_no_rounds(spark, written):
     e = frame(spark, [(k, k + 1) for k in range(30)])
     assert al.closeness_centrality(e).count() == 31
+    g = Graph.from_edges({("V", "e", "V"): e})
+    assert Rows.scan(g, "a", ["V"]).shortest_lengths("a", "b", None, ["e"], path="p").df.count() == 31 * 30 / 2
+    assert cypher(g, "MATCH p = shortestPath((a:V)-[:e*1..31]->(b:V)) RETURN length(p) AS k, count(*) AS n").count() == 30
     assert len(written) < 16
 
 
