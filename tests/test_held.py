@@ -80,11 +80,21 @@ def test_shortest_lengths_by_brute_force(spark, limit):
     assert rows(cypher(g, text.replace("count(*) AS n", "nodes(p) AS n").replace("RETURN", "WHERE a.id = 3 AND b.id < 9 RETURN"))) == rows(cypher(g, text.replace("count(*)", "nodes(p)").replace("(a:V)", "(a:V {id: 3})").replace("RETURN", "WHERE b.id < 9 RETURN")))
 
 
+def test_paths_of_three_steps_by_listing_them(spark):
+    once = some_graph(3, 40, 200, loops=True)
+    for pairs in (once, [p for p in once if p[0] != p[1]], once + once[::3] + once[::9]):
+        g = Graph.from_edges({("V", "e", "V"): frame(spark, pairs)})
+        for option in ("simple", "trail"):
+            listed = Counter((r.a, r.b) for r in Rows.scan(g, "a", ["V"]).path_expand("a", "b", 3, 4, ["e"], option=option).df.collect())
+            assert rows(Rows.scan(g, "a", ["V"]).path_counts("a", "b", 3, ["e"], option=option)) == sorted(((a, b, n) for (a, b), n in listed.items()), key=repr)
+
+
 def test_searches_from_everywhere_write_no_rounds(spark, written):
     e = frame(spark, [(k, k + 1) for k in range(30)])
     assert al.closeness_centrality(e).count() == 31
     g = Graph.from_edges({("V", "e", "V"): e})
     assert Rows.scan(g, "a", ["V"]).shortest_lengths("a", "b", None, ["e"], path="p").df.count() == 31 * 30 / 2
+    assert Rows.scan(g, "a", ["V"]).path_counts("a", "b", 3, ["e"]).count() == 28
     assert cypher(g, "MATCH p = shortestPath((a:V)-[:e*1..31]->(b:V)) RETURN length(p) AS k, count(*) AS n").count() == 30
     assert len(written) < 16
 
