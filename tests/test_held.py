@@ -64,6 +64,7 @@ def test_all_pairs_by_brute_force(spark, limit):
     ids = {s for s, _ in d}
     assert rows(al.all_pairs_shortest_path_length(e, weighted=False)) == sorted(((a, b, float(k)) for (a, b), k in d.items()), key=repr)
     assert rows(al.all_pairs_shortest_path_length(e, spark.createDataFrame([(3,), (777,)], "id long"), weighted=False)) == sorted([(3, b, float(k)) for (a, b), k in d.items() if a == 3] + [(777, 777, 0.0)], key=repr)
+    assert abs(al.average_shortest_path_length(e).first().value - sum(d.values()) / (len(ids) * (len(ids) - 1))) < 1e-9
     into = {v: [k for (_, b), k in d.items() if b == v] for v in ids}
     near(rows(al.closeness_centrality(e)), {v: Fraction((len(x) - 1) ** 2, sum(x) * (len(ids) - 1)) if sum(x) else 0 for v, x in into.items()})
 
@@ -94,6 +95,7 @@ def test_paths_of_three_steps_by_listing_them(spark):
 def test_searches_from_everywhere_write_no_rounds(spark, written):
     e = frame(spark, [(k, k + 1) for k in range(30)])
     assert al.closeness_centrality(e).count() == 31
+    assert al.average_shortest_path_length(e).first().value > 0
     assert al.all_pairs_shortest_path_length(e, weighted=False).count() == 31 * 32 / 2
     g = Graph.from_edges({("V", "e", "V"): e})
     assert Rows.scan(g, "a", ["V"]).shortest_lengths("a", "b", None, ["e"], path="p").df.count() == 31 * 30 / 2
