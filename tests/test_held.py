@@ -67,6 +67,8 @@ def test_all_pairs_by_brute_force(spark, limit):
     assert abs(al.average_shortest_path_length(e).first().value - sum(d.values()) / (len(ids) * (len(ids) - 1))) < 1e-9
     into = {v: [k for (_, b), k in d.items() if b == v] for v in ids}
     near(rows(al.closeness_centrality(e)), {v: Fraction((len(x) - 1) ** 2, sum(x) * (len(ids) - 1)) if sum(x) else 0 for v, x in into.items()})
+    u = distances(pairs + [(b, a) for a, b in pairs])
+    near(rows(al.harmonic_centrality(e)), {v: sum(Fraction(1, k) for (_, b), k in u.items() if b == v and k) for v in ids})
 
 
 def test_shortest_lengths_by_brute_force(spark, limit):
@@ -95,6 +97,7 @@ def test_paths_of_three_steps_by_listing_them(spark):
 def test_searches_from_everywhere_write_no_rounds(spark, written):
     e = frame(spark, [(k, k + 1) for k in range(30)])
     assert al.closeness_centrality(e).count() == 31
+    assert al.harmonic_centrality(e).count() == 31
     assert al.average_shortest_path_length(e).first().value > 0
     assert al.all_pairs_shortest_path_length(e, weighted=False).count() == 31 * 32 / 2
     g = Graph.from_edges({("V", "e", "V"): e})
