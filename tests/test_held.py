@@ -85,6 +85,17 @@ def test_shortest_lengths_by_brute_force(spark, limit):
     assert rows(cypher(g, text.replace("count(*) AS n", "nodes(p) AS n").replace("RETURN", "WHERE a.id = 3 AND b.id < 9 RETURN"))) == rows(cypher(g, text.replace("count(*)", "nodes(p)").replace("(a:V)", "(a:V {id: 3})").replace("RETURN", "WHERE b.id < 9 RETURN")))
 
 
+def test_lengths_are_counted_without_their_ends(spark, monkeypatch):
+    pairs = some_graph(2)
+    g, d = Graph.from_edges({("V", "e", "V"): frame(spark, pairs)}), distances(pairs)
+    q = lambda text: rows(cypher(g, f"MATCH p = shortestPath((a:V)-[:e*1..4]->(b:V)) {text}"))
+    reach = Counter(b for (_, b), k in d.items() if 0 < k < 4)
+    assert q("RETURN b.id AS b, count(*) AS n") == sorted(reach.items(), key=repr)
+    monkeypatch.setattr(held, "pairs", None)
+    assert q("RETURN length(p) AS k, count(*) AS n") == sorted(Counter(k for k in d.values() if 0 < k < 4).items(), key=repr)
+    assert q("WHERE length(p) > 1 RETURN a.id AS a, count(*) AS n, max(length(p)) AS k") == sorted(((s, sum(1 for (a, _), k in d.items() if a == s and 1 < k < 4), max(k for (a, _), k in d.items() if a == s and k < 4)) for s in {a for (a, _), k in d.items() if 1 < k < 4}), key=repr)
+
+
 def test_paths_of_three_steps_by_listing_them(spark):
     once = some_graph(3, 40, 200, loops=True)
     for pairs in (once, [p for p in once if p[0] != p[1]], once + once[::3] + once[::9]):
